@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cordwood.operators import drift, hierarchy, timestamps, wide
+from cordwood.operators import drift, hierarchy, templates, timestamps, wide
 from cordwood.session import table
 
 
@@ -12,6 +12,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return timestamps.found(table(spark, folder, "raw_events"), table(spark, folder, "pending_lines"), table(spark, folder, "log_sources"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return templates.found(table(spark, folder, "tail_lines"))
+
+
+def p2_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return templates.leaf_templates(table(spark, folder, "tail_lines"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return drift.changes(table(spark, folder, "drift_records"))
 
@@ -37,5 +45,5 @@ def p7_wide(spark: SparkSession, folder: str) -> DataFrame:
     return wide.widen(wide.cells(table(spark, folder, "prop_rows"), catalog), wide.header(catalog))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p4_table, p5_found, p5_paths, p7_found, p7_wide)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_templates, p4_found, p4_table, p5_found, p5_paths, p7_found, p7_wide)}
 ORACLES: dict[str, str] = {}
