@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cordwood.llm import heavy_hitters, runs, tokenizer
+from cordwood.llm import heavy_hitters, leaks, runs, tokenizer
 from cordwood.session import table
 
 
@@ -29,7 +29,16 @@ def p8_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.round_trip(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_frequent, p6_found, p8_ids, p8_round_trip)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.found(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, item_id, n_words, at: with the words found and the offset of the passage."""
+    return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_frequent, p6_found, p8_ids, p8_round_trip, p9_found, p9_leaks)}
 _P3 = """
     SELECT kind, signature, n FROM (
         SELECT kind, signature, count(*) AS n, sum(count(*)) OVER (PARTITION BY kind) AS n_rows
