@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Folder of the vocabulary files; every call takes another one.
 TOKENIZERS = "/opt/tokenizers"
@@ -226,7 +227,7 @@ def encode(docs: DataFrame, text: str, keep: list[str], name: str = "byte_bpe_50
     """keep and ids of every row: the token ids of its text, without special tokens, [] for null and empty texts."""
     data = _ranks(docs, name, folder)
     rows = docs.select(*keep, F.col(text).alias("_text"))
-    schema = rows.drop("_text").schema.add("ids", "array<int>", False)
+    schema = rows.drop("_text").schema.add("ids", T.ArrayType(T.IntegerType()), False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, split = _transducer(data.value)
@@ -243,7 +244,7 @@ def decoded(encoded: DataFrame, keep: list[str], name: str = "byte_bpe_50k", fol
     """keep and text of every row of ids; null ids give null."""
     data = _ranks(encoded, name, folder)
     rows = encoded.select(*keep, "ids")
-    schema = rows.drop("ids").schema.add("text", "string")
+    schema = rows.drop("ids").schema.add("text", T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _transducer(data.value)[0].tokens
