@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cordwood.llm import heavy_hitters, leaks, runs, tokenizer
+from cordwood.llm import abuse, heavy_hitters, leaks, runs, tokenizer
 from cordwood.session import table
 
 
@@ -38,7 +38,20 @@ def p9_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_frequent, p6_found, p8_ids, p8_round_trip, p9_found, p9_leaks)}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.found(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
+
+
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, source, score and worst sentence of every document."""
+    return abuse.score(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return abuse.rates(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_frequent, p6_found, p8_ids, p8_round_trip, p9_found, p9_leaks, p10_found, p10_scores, p10_rates)}
 _P3 = """
     SELECT kind, signature, n FROM (
         SELECT kind, signature, count(*) AS n, sum(count(*)) OVER (PARTITION BY kind) AS n_rows

@@ -243,13 +243,13 @@ def encode(docs: DataFrame, text: str, keep: list[str], name: str = "byte_bpe_50
 def decoded(encoded: DataFrame, keep: list[str], name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
     """keep and text of every row of ids; null ids give null."""
     data = _ranks(encoded, name, folder)
-    rows = encoded.select(*keep, "ids")
-    schema = rows.drop("ids").schema.add("text", T.StringType())
+    rows = encoded.select(*keep, F.col("ids").alias("_ids"))
+    schema = rows.drop("_ids").schema.add("text", T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _transducer(data.value)[0].tokens
         for batch in batches:
-            texts = [None if ids is None else decode(ids, tokens) for ids in batch.column("ids").to_pylist()]
+            texts = [None if ids is None else decode(ids, tokens) for ids in batch.column("_ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(texts, pa.string())], names=[*keep, "text"])
 
     return rows.mapInArrow(run, schema)
