@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS, FACTORS, TERMS = 17, 8, 40
-MAX_LABELLED = 20_000
+MAX_LABELLED = 12_000
 LEAST_DOCS = 2  # labelled documents that hold a term, else it says nothing
 
 # ---- sentences and terms ----------------------------------------------------------------------------------------
