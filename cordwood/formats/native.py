@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cordwood.constants import LEVELS
 from cordwood.formats.schema import EVENT_COLUMNS
 from cordwood.functions.fields import text_time
 from cordwood.functions.levels import guess_severity, http_level, syslog_level
+from cordwood.functions.ordered import running
 from cordwood.functions.plan import fenced
 
 # The two syslog layouts.
@@ -64,13 +64,12 @@ def parse_w3c(lines: DataFrame) -> DataFrame:
     """Events of W3C extended logs. The last #Fields line above a row names its columns; - is empty, quoted values may
     hold blanks, and rows with fewer values than columns are left out.
 
-    Headers are carried down per source; header lines alone are sorted over a whole source, and rows are matched to
-    the header span they fall in by a window over source, so lines of a source are read in order.
+    Headers are carried down their source over chunks of it.
     """
     t = F.col("text")
     header = F.when(t.rlike(r"(?i)^#\s*fields\s*:"), F.filter(F.split(F.regexp_replace(t, "^[^:]*:", ""), " "), lambda x: F.trim(x) != ""))
-    order = W.partitionBy("source").orderBy("line_number").rowsBetween(W.unboundedPreceding, 0)
-    rows = lines.withColumn("_names", F.last(header, True).over(order)).where(~t.startswith("#") & (t != "") & F.col("_names").isNotNull())
+    rows = running(lines.select("source", "line_number", "text"), ["source"], "line_number", lasts={"_names": header})
+    rows = rows.where(~t.startswith("#") & (t != "") & F.col("_names").isNotNull())
     values = F.transform(F.regexp_extract_all(t, F.lit(_ROW), F.lit(0)), lambda v: F.regexp_replace(F.regexp_replace(v, '^"', ""), '"$', ""))
     rows = fenced(rows, _v=F.transform(values, lambda v: F.when(v == "-", "").otherwise(v))).where(F.size("_v") >= F.size("_names"))
     rows = fenced(rows, properties=F.map_from_arrays("_names", F.slice(F.col("_v"), F.lit(1), F.size("_names"))))

@@ -7,13 +7,13 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cordwood.constants import DETECT_LEAST, DETECT_LINES, DETECT_SHARE
 from cordwood.formats import native
 from cordwood.formats.parsers import PARSERS, CustomFormat, logfmt_pairs, members, parse_serilog, segments
 from cordwood.formats.schema import EVENT_COLUMNS, EVENT_FIELDS, EVENT_SCHEMA
+from cordwood.functions.ordered import running
 
 _5424, _3164 = (re.compile(p.replace("(?s)", ""), re.S) for p in (native.RFC5424, native.RFC3164))
 
@@ -107,9 +107,8 @@ def join_continuations(lines: DataFrame, events: DataFrame) -> DataFrame:
     """lines with owner (the event line that a line belongs to) and level: lines that are no event and not blank
     belong to the event above them."""
     heads = events.select("source", "line_number", F.col("level").alias("_level"), F.lit(True).alias("_is"))
-    order = W.partitionBy("source").orderBy("line_number").rowsBetween(W.unboundedPreceding, 0)
-    owner = F.last(F.when(F.col("_is"), F.struct("line_number", "_level")), True).over(order)
-    rows = lines.join(heads, ["source", "line_number"], "left").withColumn("_o", owner)
+    rows = lines.join(heads, ["source", "line_number"], "left")
+    rows = running(rows, ["source"], "line_number", lasts={"_o": F.when(F.col("_is"), F.struct("line_number", "_level"))})
     mine = F.col("_is").isNotNull() | (F.col("text") != "")
     return rows.select(*lines.columns, F.when(mine, F.col("_o.line_number")).alias("owner"), F.when(mine, F.col("_o._level")).alias("level"))
 

@@ -16,6 +16,7 @@ from cordwood.constants import LEVELS
 from cordwood.formats.read import parse
 from cordwood.functions.fields import resolve, text_time
 from cordwood.functions.levels import line_severity
+from cordwood.functions.ordered import running
 from cordwood.functions.timequery import parse_time_query
 
 _META = re.compile(r"[\\^$.|?*+()\[\]{}]")
@@ -76,17 +77,17 @@ def count_matches(lines: DataFrame, matches: Callable[[Column], Column]) -> Data
 
 def with_effective_ts(lines: DataFrame, own: Column | None = None) -> DataFrame:
     """lines with own_ts and effective_ts: the own time, else the last one above it in its source."""
-    order = W.partitionBy("source").orderBy("line_number").rowsBetween(W.unboundedPreceding, 0)
     own = text_time(F.col("text")) if own is None else own
-    return lines.withColumn("own_ts", own).withColumn("effective_ts", F.last("own_ts", True).over(order))
+    return running(lines.withColumn("own_ts", own), ["source"], "line_number", lasts={"effective_ts": F.col("own_ts")})
 
 
 def with_delta(lines: DataFrame, reference: dt.datetime | None = None) -> DataFrame:
     """lines (with effective times) with delta_us: own time less the effective time of the line above, or less a fixed
     reference; null for lines without own time and for the first."""
-    order = W.partitionBy("source").orderBy("line_number")
-    before = F.unix_micros(F.lag("effective_ts").over(order)) if reference is None else F.unix_micros(F.lit(reference))
-    return lines.withColumn("delta_us", F.unix_micros("own_ts") - before)
+    if reference is not None:
+        return lines.withColumn("delta_us", F.unix_micros("own_ts") - F.unix_micros(F.lit(reference)))
+    rows = running(lines, ["source"], "line_number", previous={"_before": F.col("effective_ts")})
+    return rows.withColumn("delta_us", F.unix_micros("own_ts") - F.unix_micros("_before")).drop("_before")
 
 
 def time_range(lines: DataFrame, start: dt.datetime | None, end: dt.datetime | None, most: int | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cordwood.functions.fields import text_time
+from cordwood.functions.ordered import running
 
 MARK = "│"
 
@@ -33,8 +34,7 @@ def strip_label(text: Column) -> Column:
 def with_keys(lines: DataFrame, time: Column | None = None) -> DataFrame:
     """lines with merge_key: the line's own time, else that last seen in its source, else null (first of all)."""
     own = text_time(F.col("text")) if time is None else time
-    order = W.partitionBy("source").orderBy("line_number").rowsBetween(W.unboundedPreceding, 0)
-    return lines.withColumn("_own", own).withColumn("merge_key", F.last("_own", True).over(order)).drop("_own")
+    return running(lines, ["source"], "line_number", lasts={"merge_key": own})
 
 
 def merge(lines: DataFrame, labels: dict[str, str] | None = None, time: Column | None = None) -> DataFrame:
