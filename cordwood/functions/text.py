@@ -32,7 +32,7 @@ def format_duration(us: Column) -> Column:
 
 def heat(us: Column) -> Column:
     """0..1 on a logarithmic scale of which five seconds are the end."""
-    return F.least(F.greatest(F.log10(us / 1000 + 1) / F.log10(F.lit(5001.0)), F.lit(0.0)), F.lit(1.0))
+    return F.when(us.isNotNull(), F.least(F.greatest(F.log10(us / 1000 + 1) / F.log10(F.lit(5001.0)), F.lit(0.0)), F.lit(1.0)))
 
 
 def text_hash(text: Column) -> Column:

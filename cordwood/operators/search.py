@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -133,7 +133,7 @@ class FilterView:
     time_to: str | None = None
     hide_before: int | None = None
     collapsed: bool = False
-    reference: dt.datetime | None = field(default=None, compare=False)
+    reference: dt.datetime | None = None
 
     def predicate(self, columns: list[str]) -> Column:
         """Over events with text, effective_ts (for times) and head_line (for collapsed ones)."""
