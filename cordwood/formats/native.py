@@ -38,15 +38,23 @@ def _merged(a: Column, b: Column) -> Column:
 def parse_syslog(lines: DataFrame, year: int = 1970) -> DataFrame:
     """Events of both syslog layouts, lines of neither left out. The older one names no year: it is given."""
     t = F.col("text")
-    new, old = lambda i: F.regexp_extract(t, RFC5424, i), lambda i: F.regexp_extract(t, RFC3164, i)
     keep = [c for c in ("source", "line_number") if c in lines.columns]
-    rows = fenced(lines.select(*keep, "text"), _new=t.rlike(RFC5424), _old=t.rlike(RFC3164)).where("_new or _old")
-    pri = F.when(F.col("_new"), new(1)).otherwise(old(1)).cast("int")
+    is_new, is_old = t.rlike(RFC5424), t.rlike(RFC3164)
+    # each line is taken apart once; the message comes last and may hold the separator
+    apart = F.when(is_new, F.regexp_replace(t, RFC5424, "\u0001".join(f"${i}" for i in range(1, 10)))).when(
+        is_old, F.regexp_replace(t, RFC3164, "\u0001".join(f"${i}" for i in range(1, 6)))
+    )
+    rows = fenced(lines.select(*keep, "text"), _new=is_new, _f=F.split(apart, "\u0001", 9)).where("_f is not null")
+    rows = fenced(rows, _f=F.when(F.col("_new"), F.col("_f")).otherwise(F.concat(F.slice("_f", 1, 4), F.array(F.array_join(F.slice(F.col("_f"), F.lit(5), F.greatest(F.size("_f") - 4, F.lit(1))), "\u0001")))))
+    new = old = lambda i: F.get("_f", F.lit(i - 1))
+    pri = new(1).cast("int")
     params = F.regexp_extract_all(new(8), F.lit(SD_PARAM), F.lit(1)), F.regexp_extract_all(new(8), F.lit(SD_PARAM), F.lit(2))
     listed = F.arrays_zip(params[0].alias("key"), params[1].alias("value"))
-    last = F.aggregate(
+    every = F.map_from_entries(listed)
+    merged = F.aggregate(
         listed, F.create_map().cast("map<string,string>"), lambda m, e: _merged(m, F.create_map(e["key"], e["value"]))
     )
+    last = F.when(F.size(F.array_distinct(params[0])) == F.size(params[0]), every).otherwise(merged)
     facility = F.floor(pri / 8).cast("string")
     p_new = _merged(_map(("facility", facility), ("host", new(4)), ("appname", new(5)), ("procid", new(6)), ("msgid", new(7))), last)
     p_old = _map(("facility", facility), ("host", old(3)), ("tag", old(4)))

@@ -34,16 +34,26 @@ def resolve(field: str, level: str = "level", message: str = "message", exceptio
 
 def text_time(line: Column) -> Column:
     """First ISO-like time in a line (without offset: UTC), else a bare time of day on 2000-01-01, else null."""
-    part = lambda pattern, i: F.regexp_extract(line, pattern, i)
-    fraction = lambda pattern, i: F.rpad(F.substring(part(pattern, i), 1, 6), 6, "0").cast("long")
-    offset = F.regexp_replace(part(_ISO, 4), "Z|:", "")
-    minutes = F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, 4, 2).try_cast("int")
-    shift = F.coalesce(minutes * F.when(offset.startswith("-"), -1).otherwise(1), F.lit(0)).cast("long") * 60_000_000
-    wall = F.try_to_timestamp(F.concat(part(_ISO, 1), F.lit(" "), part(_ISO, 2), F.lit("Z")), F.lit("yyyy-MM-dd HH:mm:ssX"))
-    full = F.timestamp_micros(F.unix_micros(wall) + fraction(_ISO, 3) - shift)
-    bare = F.try_to_timestamp(F.concat(F.lit("2000-01-01 "), part(_CLOCK, 1), F.lit("Z")), F.lit("yyyy-MM-dd HH:mm:ssX"))
-    clock = F.timestamp_micros(F.unix_micros(bare) + fraction(_CLOCK, 2))
-    return F.coalesce(F.when(line.rlike(_ISO), full), F.when(line.rlike(_CLOCK), clock))
+
+    def full(m: Column) -> Column:
+        """m: the match, yyyy-MM-dd, one character, HH:mm:ss, then what may follow."""
+        wall = F.try_to_timestamp(F.concat(F.substring(m, 1, 10), F.lit(" "), F.substring(m, 12, 8), F.lit("Z")), F.lit("yyyy-MM-dd HH:mm:ssX"))
+        rest = F.substring(m, 20, 40)
+        fraction = F.rpad(F.substring(F.regexp_extract(rest, "^[.,]([0-9]+)", 1), 1, 6), 6, "0").cast("long")
+        offset = F.regexp_replace(F.regexp_extract(rest, "[+-][0-9:]+$", 0), ":", "")
+        minutes = F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, 4, 2).try_cast("int")
+        shift = F.coalesce(minutes * F.when(offset.startswith("-"), -1).otherwise(1), F.lit(0)).cast("long") * 60_000_000
+        return F.when(m != "", F.timestamp_micros(F.unix_micros(wall) + fraction - shift))
+
+    def clock(m: Column) -> Column:
+        at = F.try_to_timestamp(F.concat(F.lit("2000-01-01 "), F.substring(m, 1, 8), F.lit("Z")), F.lit("yyyy-MM-dd HH:mm:ssX"))
+        fraction = F.rpad(F.substring(F.regexp_extract(m, "[.,]([0-9]+)$", 1), 1, 6), 6, "0").cast("long")
+        return F.when(m != "", F.timestamp_micros(F.unix_micros(at) + fraction))
+
+    # the line is searched once for each form; the parts are taken from the short match
+    found = F.transform(F.array(F.regexp_extract(line, _ISO, 0)), full)
+    bare = F.transform(F.array(F.regexp_extract(line, _CLOCK, 0)), clock)
+    return F.coalesce(F.get(found, F.lit(0)), F.get(bare, F.lit(0)))
 
 
 def top_frame(exception: Column) -> Column:
