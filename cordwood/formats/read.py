@@ -74,6 +74,8 @@ def _by_python(lines: DataFrame, parse: Callable[[str], dict | None]) -> DataFra
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [(s, n, e) for s, n, t in zip(pdf["source"], pdf["line_number"], pdf["text"]) if t is not None and (e := parse(t)) is not None]
+            if not rows:
+                continue
             yield pd.DataFrame(
                 {"source": [r[0] for r in rows], "line_number": [r[1] for r in rows], **{c: pd.Series([r[2][c] for r in rows], dtype=object) for c in EVENT_COLUMNS}}
             )

@@ -96,9 +96,10 @@ def widen(cell_rows: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
     columns is the header of the result and thus bounded; a name must occur once. Events without any cell have no row.
     """
     spark = cell_rows.sparkSession
-    held = spark.read.parquet(stored(cell_rows.drop("prop_type"), ["prop_name"]))
-    if "prop_name" not in held.columns:  # an empty table has no partitions
-        return spark.createDataFrame([], "event_id bigint, " + ", ".join(f"`{n}` {TYPES[t]}" for n, t in columns))
+    narrow_rows = cell_rows.drop("prop_type")
+    held = spark.read.schema(narrow_rows.schema).parquet(stored(narrow_rows, ["prop_name"]))
+    if not columns:
+        return held.select("event_id").distinct()
     spine = held.select("event_id").distinct()
     width = max(1, math.isqrt(len(columns)))
     groups = []
