@@ -125,7 +125,7 @@ def occurrences(lines: DataFrame, events: DataFrame | None = None) -> DataFrame:
     safe = _safe(F.col("text")) | F.col("_x").isNotNull()
     parts = safe_groups(rows.select("source", "line_number", "ts", "text", "_x"), "source", "line_number", safe)
 
-    def per_part(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def per_part(key, pdf):
         pdf = pdf.sort_values("line_number")
         at = pdf["ts"].astype(object).where(pdf["ts"].notna(), None)
         x = pdf["_x"].astype(object).where(pdf["_x"].notna(), None)
@@ -210,7 +210,7 @@ def group_entries(lines: DataFrame, starts: Column | None = None) -> DataFrame:
     rows = lines.withColumn("_starts", F.lit(False) if starts is None else F.coalesce(starts, F.lit(False)))
     parts = safe_groups(rows.select("source", "line_number", "text", "_starts"), "source", "line_number", _safe(F.col("text")) & ~F.col("text").rlike(TRACEBACK.pattern))
 
-    def per_part(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def per_part(key, pdf):
         pdf = pdf.sort_values("line_number")
         found = heads(zip(pdf["line_number"], pdf["text"], pdf["_starts"]))
         return pd.DataFrame({"source": key[0], "line_number": pdf["line_number"].values, "text": pdf["text"].values, "head_line": pd.array(found, dtype="Int64")})

@@ -111,7 +111,7 @@ def threshold_alerts(hits: DataFrame, rules: list[Rule]) -> DataFrame:
     rows = running(rows, ["rule_id"], "at_us", previous={"_p": F.col("at_us")}, size=chunk)
     parts = safe_groups(rows, "rule_id", "at_us", F.col("_p").isNull() | (F.col("at_us") - F.col("_p") > window[F.col("rule_id")]), size=chunk)
 
-    def per_part(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def per_part(key, pdf):
         pdf = pdf.sort_values(["at_us", "line_number"])
         counter = HitWindow(*limits[key[0]])
         fired = [counter.record(int(t)) for t in pdf["at_us"]]
