@@ -88,7 +88,7 @@ def head_classes(text: str | None) -> tuple[str, ...]:
 
 def read_object(text: str) -> dict | None:
     try:
-        event = json.loads(text)
+        event = json.loads(text, parse_float=str)  # numbers keep their digits as written
     except ValueError:
         return None
     return event if isinstance(event, dict) else None
