@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from cordwood.llm import abuse, heavy_hitters, leaks, runs, tokenizer
+from cordwood.plans.base import normal
 from cordwood.session import table
 
 
@@ -60,4 +61,11 @@ _P3 = """
 ORACLES: dict[str, str] = {
     "p3_found": f"SELECT kind, signature FROM ({_P3})",
     "p3_frequent": _P3,
+    "p6_found": f"""WITH e AS (SELECT source, line_number, ts, {normal('level')} AS level, regexp_replace(regexp_replace(regexp_replace(coalesce(message, ''),
+            '"[^"]*"|''[^'']*''', '<v>', 'g'), '[0-9A-Za-z_.:\\-]*[0-9][0-9A-Za-z_.:\\-]*', '<v>', 'g'), '\\s+', '', 'g') AS words
+            FROM log_events QUALIFY row_number() OVER (PARTITION BY source, line_number ORDER BY event_id) = 1),
+        s AS (SELECT *, CASE WHEN level || words = lag(level || words) OVER (PARTITION BY source ORDER BY line_number) THEN 0 ELSE 1 END AS fresh FROM e),
+        g AS (SELECT *, sum(fresh) OVER (PARTITION BY source ORDER BY line_number) AS g FROM s)
+        SELECT source, min(line_number) AS first_line, max(line_number) AS last_line, count(*) AS n_events, coalesce(max(epoch_us(ts)) - min(epoch_us(ts)), 0) AS duration_us
+        FROM g GROUP BY source, g HAVING count(*) >= 2""",
 }
