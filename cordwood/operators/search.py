@@ -96,10 +96,10 @@ def time_range(lines: DataFrame, start: dt.datetime | None, end: dt.datetime | N
     timed = lines if "own_ts" in lines.columns else with_effective_ts(lines)
     n, own = F.col("line_number"), F.col("own_ts")
     lo = timed.groupBy("source").agg(F.min(F.when(own >= F.lit(start), n) if start else n).alias("_lo")).where("_lo is not null")
-    held = timed.join(F.broadcast(lo), "source").where(n >= F.col("_lo"))
+    held = timed.join(lo, "source").where(n >= F.col("_lo"))
     if end is not None:
         hi = held.groupBy("source").agg(F.min(F.when((n > F.col("_lo")) & (own > F.lit(end)), n)).alias("_hi"))
-        held = held.join(F.broadcast(hi), "source").where(F.col("_hi").isNull() | (n < F.col("_hi"))).drop("_hi")
+        held = held.join(hi, "source").where(F.col("_hi").isNull() | (n < F.col("_hi"))).drop("_hi")
         held = held.where((n > F.col("_lo")) | ~F.coalesce(own > F.lit(end), F.lit(False)))
     held = held.drop("_lo")
     return held.orderBy("source", "line_number").limit(most) if most is not None else held
@@ -109,7 +109,7 @@ def latest_ts(lines: DataFrame, tail: int = 500) -> DataFrame:
     """source, ts: the time of the last line with one among the last tail lines of each source."""
     timed = lines if "own_ts" in lines.columns else lines.withColumn("own_ts", text_time(F.col("text")))
     ends = timed.groupBy("source").agg(F.max("line_number").alias("_end"))
-    near = timed.join(F.broadcast(ends), "source").where((F.col("line_number") > F.col("_end") - tail) & F.col("own_ts").isNotNull())
+    near = timed.join(ends, "source").where((F.col("line_number") > F.col("_end") - tail) & F.col("own_ts").isNotNull())
     return near.groupBy("source").agg(F.max_by("own_ts", "line_number").alias("ts"))
 
 

@@ -77,9 +77,9 @@ def new_patterns(events: DataFrame, warmup: int = K.NOVELTY_WARMUP, min_severity
     counts = seen.groupBy("source", chunk.alias("_c")).agg(F.count("*").alias("_n"))
     base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(W.partitionBy("source").orderBy("_c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     early = base.where(F.col("_base") <= warmup).select("source", "_c", "_base")
-    inside = seen.withColumn("_c", chunk).join(F.broadcast(early), ["source", "_c"])
+    inside = seen.withColumn("_c", chunk).join(early, ["source", "_c"])
     place = inside.withColumn("_place", F.col("_base") + F.row_number().over(W.partitionBy("source", "_c").orderBy("line_number")))
     warm = place.where(F.col("_place") <= warmup).groupBy("source").agg(F.max("line_number").alias("_warm"))
-    return first.join(F.broadcast(warm), "source", "left").where(F.col("_f.line_number") > F.coalesce("_warm", F.lit(0))).select(
+    return first.join(warm, "source", "left").where(F.col("_f.line_number") > F.coalesce("_warm", F.lit(0))).select(
         "source", F.col("_f.line_number").alias("line_number"), "severity", "shape", F.col("_f.message").alias("message")
     )

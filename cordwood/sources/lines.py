@@ -101,7 +101,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     sums = raw.groupBy("source", "_at").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
     before = W.partitionBy("source").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return raw.join(F.broadcast(sums), ["source", "_at"]).select("source", (F.col("_id") - F.col("_first") + F.col("_base") + 1).alias("line_number"), "text")
+    return raw.join(sums, ["source", "_at"]).select("source", (F.col("_id") - F.col("_first") + F.col("_base") + 1).alias("line_number"), "text")
 
 
 def read_any(spark: SparkSession, path: str, include_unterminated: bool = True, fallback: str = "cp1252", glob: str | None = None) -> DataFrame:

@@ -116,6 +116,6 @@ def last_lines(path: str, n: int = 50_000) -> Callable[[DataFrame, int], None]:
             old = None
         both = batch if old is None else old.unionByName(batch.select(*old.columns))
         top = both.groupBy("source").agg(F.max("line_number").alias("_top"))
-        both.join(F.broadcast(top), "source").where(F.col("line_number") > F.col("_top") - n).drop("_top").write.mode("overwrite").parquet(f"{path}/{epoch}")
+        both.join(top, "source").where(F.col("line_number") > F.col("_top") - n).drop("_top").write.mode("overwrite").parquet(f"{path}/{epoch}")
 
     return write
