@@ -97,30 +97,41 @@ def read_object(text: str) -> dict | None:
 # ---- iterative partitioning -------------------------------------------------------------------------------------
 
 
-def partition(sequences: dict[tuple[str, ...], int], support: float = 0.0) -> list[tuple[tuple[str | None, ...], list[tuple[str, ...]]]]:
+def partition(sequences: dict[tuple[str, ...], int]) -> list[tuple[tuple[str | None, ...], list[tuple[str, ...]]]]:
     """Leaf templates of token sequences with counts: (template with None for variable slots, its sequences).
 
     Steps: token count; the position with the fewest distinct tokens; the mapping between the two positions whose
     numbers of distinct tokens are most common (one-to-one pairs split; else the side with the fewest values splits).
-    A partition of one sequence, or whose positions are all constant, is a leaf.
+    A partition is a leaf as soon as its template alone says how all its sequences are read: what still varies stands
+    behind the mark of the message, or is a value ahead of it.
     """
     by_count: dict[int, dict] = {}
     for s, n in sequences.items():
         by_count.setdefault(len(s), {})[s] = n
     leaves = []
     for part in by_count.values():
-        for step1 in _by_position(part):
+        for step1 in [part] if _settled(part) else _by_position(part):
             leaves += _by_bijection(step1)
-    out = []
-    for leaf in leaves:
-        rows = sorted(leaf)
-        columns = list(zip(*rows)) if rows and rows[0] else []
-        out.append((tuple(c[0] if len(set(c)) == 1 else None for c in columns), rows))
+    out = [(tuple(min(c) if len(c) == 1 else None for c in _slots(leaf)), sorted(leaf)) for leaf in leaves]
     return sorted(out, key=lambda x: tuple(t or "" for t in x[0]))
 
 
+def _slots(part) -> list[set[str]]:
+    """The distinct tokens of each position."""
+    return [set(c) for c in zip(*part)]
+
+
+def _settled(part: dict) -> bool:
+    slots = _slots(part)
+    try:
+        layout_of(tuple(min(c) if len(c) == 1 else None for c in slots), slots)
+    except Unsettled:
+        return False
+    return True
+
+
 def _cardinality(part: dict) -> list[int]:
-    return [len(set(c)) for c in zip(*part)]
+    return [len(c) for c in _slots(part)]
 
 
 def _by_position(part: dict) -> list[dict]:
@@ -136,8 +147,10 @@ def _by_position(part: dict) -> list[dict]:
 
 def _by_bijection(part: dict) -> list[dict]:
     cards = [(n, i) for i, n in enumerate(_cardinality(part)) if n > 1]
+    if not cards or _settled(part):
+        return [part]
     if len(cards) < 2:
-        return [part] if not cards else _by_position(part)
+        return _by_position(part)
     common = Counter(n for n, _ in cards).most_common(1)[0][0]
     at = [i for n, i in cards if n == common]
     a, b = (at + [i for _, i in cards if i not in at])[:2]
@@ -150,73 +163,105 @@ def _by_bijection(part: dict) -> list[dict]:
         one = len(forward[s[a]]) == 1 and len(backward[s[b]]) == 1
         key = (s[a], s[b]) if one else (s[a],) if len(forward) <= len(backward) else (None, s[b])
         split.setdefault(key, {})[s] = n
-    if len(split) == 1:
-        return [part]
     return [leaf for sub in split.values() for leaf in _by_bijection(sub)]
 
 
 # ---- layouts ----------------------------------------------------------------------------------------------------
 
 _END = {":", "|", ">", "-", "]"}
+_TIMES = {"STAMP", "CLOCK", "GLOG", "MDAY"}
+_AHEAD = {"LEVEL", "[", "|", "<", "(", "-"}  # what may stand ahead of the time
 _SOURCE = {**_TOKENS, "LEVEL": r"[A-Za-z]+", "N": r"\d+", "W": r"[^\s\[\](){}<>|:,;\"'=]+", "-": "-"}
 
 
-def layout_of(template: tuple[str | None, ...]) -> str | None:
+class Unsettled(Exception):
+    """A variable slot stands where the layout depends on its token."""
+
+
+def _all(*answers: bool | None) -> bool:
+    """Whether all hold; None is an answer that depends on a slot, and matters only if no other is False."""
+    if any(x is False for x in answers):
+        return False
+    if any(x is None for x in answers):
+        raise Unsettled
+    return True
+
+
+def layout_of(template: tuple[str | None, ...], slots: list[set[str]] | None = None) -> str | None:
     """The layout of a leaf template: object, pairs, rfc5424, rfc3164, or the pattern that reads its lines; None if
     it does not begin an entry.
 
+    Constants of the template are fixed tokens. slots has the tokens that the leaf's sequences have at each position;
+    a variable slot ahead of the message is read as any of them. Unsettled is raised where the role of a slot, or of
+    what follows it, is not the same for all.
+
     Beyond the standard ones, a layout has a time among its first three tokens, with nothing but level and brackets
     before it, and a level after (or before) it; the component is the last word ahead of the mark behind which the
     message begins.
     """
     if not template:
         return None
-    t = list(template)
-    if t[0] in ("OBJECT", "PAIR"):
-        need = {"OBJECT": {"TIME"}, "PAIR": {"TIME", "LEVEL"}}[t[0]]
-        return {"OBJECT": "object", "PAIR": "pairs"}[t[0]] if need <= set(t) else None
-    if t[0] == "PRI":
-        return "rfc5424" if t[1:3] == ["N", "STAMP"] else "rfc3164" if t[1:2] == ["MDAY"] else None
-    times = [i for i, x in enumerate(t) if x in ("STAMP", "CLOCK", "GLOG", "MDAY")]
-    if not times or any(x not in ("LEVEL", "[", "|", "<", "(", "-") for x in t[: times[0]]):
-        return None
-    when = times[0]
-    glog = t[when] == "GLOG"
-    levels = [i for i, x in enumerate(t[:8]) if x == "LEVEL"]
-    if not glog and not levels:
+    t = [{x} if x is not None else slots[i] if slots else set() for i, x in enumerate(template)]
+
+    def among(i: int, tokens: set[str]) -> bool | None:
+        """Whether position i holds one of tokens; None if it depends on the sequence."""
+        if not 0 <= i < len(t):
+            return False
+        return True if t[i] and t[i] <= tokens else None if t[i] & tokens or not t[i] else False
+
+    for kind, name, need in (("OBJECT", "object", {"TIME"}), ("PAIR", "pairs", {"TIME", "LEVEL"})):
+        if _all(among(0, {kind})):
+            if need <= set(template):
+                return name
+            if need <= set().union(*t):
+                raise Unsettled
+            return None
+    if _all(among(0, {"PRI"})):
+        if _all(among(1, {"N"}), among(2, {"STAMP"})):
+            return "rfc5424"
+        return "rfc3164" if _all(among(1, {"MDAY"})) else None
+    when = 0
+    while not _all(among(when, _TIMES)):
+        if not _all(among(when, _AHEAD)):
+            return None
+        when += 1
+    glog = _all(among(when, {"GLOG"}))
+    level = when if glog else next((i for i in range(min(8, len(t))) if _all(among(i, {"LEVEL"}))), None)
+    if level is None:
         return None
-    level = when if glog else levels[0]
-    pattern, part, i, dashed = "^", None, 0, False
-    seen_part = False
+    pattern, i, dashed, seen_part = "^", 0, False, False
     while i < len(t):
-        x = t[i]
-        if x is None:
-            return None
         name = ""
         if i == when:
             name = "time"
         elif i == level:
             name = "level"
-        elif x == "W" and not seen_part:
-            ahead = t[i + 1] if i + 1 < len(t) else None
-            boxed = i > 0 and t[i - 1] == "["
-            if i > max(when, level) and ahead in _END and not boxed:
+        elif not seen_part and i > max(when, level):
+            boxed = among(i - 1, {"["})
+            if _all(among(i, {"W"}), among(i + 1, _END), None if boxed is None else not boxed):
                 name, seen_part = "part", True
-            elif when < i < level and t[i - 1] == "-" and ahead == "-":
+        elif not seen_part and when < i < level:
+            if _all(among(i, {"W"}), among(i - 1, {"-"}), among(i + 1, {"-"})):
                 name, seen_part, dashed = "part", True, True
-        source = _SOURCE.get(x, re.escape(x)) if len(x) > 1 or x in _SOURCE else re.escape(x)
+        source = _source(t[i])
         pattern += (f"(?P<{name}>{source})" if name else source) + r"\s*"
         i += 1
         if seen_part and i > level:
-            if dashed and t[i : i + 1] == ["-"]:
+            if dashed and _all(among(i, {"-"})):
                 return pattern + r"-\s?"
             if not dashed and name == "part":
-                if t[i : i + 3] == [":", "N", "]"]:
+                if _all(among(i, {":"}), among(i + 1, {"N"}), among(i + 2, {"]"})):
                     return pattern + r":\d+\]\s?"
-                return pattern + re.escape(t[i]) + r"\s?"
+                return pattern + _source(t[i]) + r"\s?"
     return None
 
 
+def _source(tokens: set[str]) -> str:
+    """The pattern of a token, or of a slot that holds any of tokens."""
+    found = [_SOURCE.get(x, re.escape(x)) for x in sorted(tokens)]
+    return found[0] if len(found) == 1 else "(?:" + "|".join(found) + ")"
+
+
 # ---- fields -----------------------------------------------------------------------------------------------------
 
 _STAMP = re.compile(r"^(\d{4})[-/](\d{2})[-/](\d{2})[T ](\d{2}):(\d{2}):(\d{2})(?:[.,](\d+))?\s?(Z|z|[+-]\d{2}(?::?\d{2})?)?$")
@@ -353,10 +398,8 @@ def leaf_templates(lines: DataFrame) -> DataFrame:
         counts = {tuple(h.split("\x1f")) if h else (): int(n) for h, n in zip(pdf["head"], pdf["n"])}
         rows = []
         for template, members in partition(counts):
-            for m in members:
-                # a slot that varies within the leaf is read by what the line itself has there
-                layout = layout_of(tuple(x if x is not None else m[i] for i, x in enumerate(template)))
-                rows.append((" ".join(x or "*" for x in template), layout, "\x1f".join(m), counts[m]))
+            layout = layout_of(template, _slots(members))
+            rows += [(" ".join(x or "*" for x in template), layout, "\x1f".join(m), counts[m]) for m in members]
         return pd.DataFrame(rows, columns=["template", "layout", "head", "n"])
 
     return heads.groupBy("tokens").applyInPandas(leaves, "template string, layout string, head string, n long")

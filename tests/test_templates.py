@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+
 from cordwood.operators import templates as T
 
 SCHEMA = "source string, line_number long, byte_offset long, text string, read_at timestamp, level int"
@@ -69,3 +71,18 @@ def test_iterative_partitioning():
     leaves = T.partition(seq)
     assert sum(len(m) for _, m in leaves) == 4 and len({len(t) for t, _ in leaves}) == 2
     assert T.layout_of(("STAMP", "[", "LEVEL", "]", "W", ":")) and T.layout_of(("W", "N")) is None and T.layout_of((">", "STAMP", "LEVEL", "W", ":")) is None
+
+
+def test_leaves_decide_layouts(spark):
+    head = ("STAMP", "[", "LEVEL", "]", "W", ":")
+    leaves = T.partition({(*head, "W", "N"): 5, (*head, "N", "W"): 2, (*head, "W", "W"): 1, ("W",) * 8: 3})
+    assert [t for t, _ in leaves] == [(*head, None, None), ("W",) * 8]
+    inside = ("STAMP", "[", None, "]", "LEVEL", "W", "-")
+    slots = [{x} if x else {"N", "W"} for x in inside]
+    assert T.read_head("2024-09-12 11:52:29 [7] WARN a.b - x", T.layout_of(inside, slots), None)[1:4] == ("Warning", "a.b", "x")
+    assert T.read_head("2024-09-12 11:52:29 [t7] WARN a.b - x", T.layout_of(inside, slots), None)[1:4] == ("Warning", "a.b", "x")
+    with pytest.raises(T.Unsettled):
+        T.layout_of(("STAMP", None, "W", ":"), [{"STAMP"}, {"LEVEL", "W"}, {"W"}, {":"}])
+    lines = spark.createDataFrame([("a", i, 0, f"{HEAD} {x}", AT, 1) for i, x in enumerate(("x 1", "1 x", "x y"))], SCHEMA)
+    rows = T.leaf_templates(lines).collect()
+    assert len(rows) == 3 and {r.template for r in rows} == {"STAMP [ LEVEL ] W : W * *"} and len({r.layout for r in rows}) == 1
