@@ -198,8 +198,15 @@ def export_json(lines: DataFrame, events: DataFrame) -> DataFrame:
     return rows.select(F.when(F.col("message").isNotNull(), event).otherwise(plain).alias("value"))
 
 
-def export_formatted(lines: DataFrame, events: DataFrame) -> DataFrame:
-    """value: yyyy-MM-dd HH:mm:ss.SSS [Level] message, and the exception below; a line that is no event as it is."""
+def formatted(lines: DataFrame, events: DataFrame) -> DataFrame:
+    """source, line_number, value of every line: yyyy-MM-dd HH:mm:ss.SSS [Level] message, and the exception below; an
+    event without a time has no stamp, and a line that is no event stays as it is."""
     rows = lines.join(events.select("source", "line_number", "ts", "level", "message", "exception"), ["source", "line_number"], "left")
     head = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.concat(F.lit("["), F.coalesce("level", F.lit("Information")), F.lit("]")), "message")
-    return rows.select(F.when(F.col("message").isNull(), F.col("text")).otherwise(F.concat_ws("\n", head, F.nullif("exception", F.lit("")))).alias("value"))
+    value = F.when(F.col("message").isNull(), F.col("text")).otherwise(F.concat_ws("\n", head, F.nullif("exception", F.lit(""))))
+    return rows.select("source", "line_number", value.alias("value"))
+
+
+def export_formatted(lines: DataFrame, events: DataFrame) -> DataFrame:
+    """value of formatted, one row a line."""
+    return formatted(lines, events).select("value")

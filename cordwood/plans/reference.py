@@ -499,11 +499,15 @@ def incident_report(spark, d):
 
 @query(f"WITH {B.E} SELECT source, line_number, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' [' || coalesce(level, 'Information') || '] ' || message || CASE WHEN coalesce(exception, '') <> '' THEN chr(10) || exception ELSE '' END AS value FROM e WHERE ts IS NOT NULL")
 def export_formatted(spark, d):
+    """The events with a time, which are all that the SQL has; export_formatted_all has every event."""
     e = B.events(spark, d).where("ts is not null")
-    keyed = e.select("source", "line_number", F.col("message").alias("text"))
-    both = keyed.join(e.select("source", "line_number", "ts", "level", "message", "exception"), ["source", "line_number"])
-    head = F.concat_ws(" ", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.concat(F.lit("["), F.coalesce("level", F.lit("Information")), F.lit("]")), "message")
-    return both.select("source", "line_number", F.concat_ws("\n", head, F.nullif("exception", F.lit(""))).alias("value"))
+    return annotations.formatted(e.select("source", "line_number", F.col("message").alias("text")), e)
+
+
+@query(f"WITH {B.E} SELECT source, line_number, coalesce(strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' ', '') || '[' || coalesce(level, 'Information') || '] ' || message || CASE WHEN coalesce(exception, '') <> '' THEN chr(10) || exception ELSE '' END AS value FROM e")
+def export_formatted_all(spark, d):
+    e = B.events(spark, d)
+    return annotations.formatted(e.select("source", "line_number", F.col("message").alias("text")), e)
 
 
 @query()
