@@ -6,12 +6,13 @@ into leaf templates with fixed tokens and variable slots. A template whose slots
 first token on is a layout: it says where time, level, component and message stand, and is compiled into the pattern
 by which its lines are read. Lines of all other templates continue the entry above them. Only distinct class
 sequences with their counts reach the partitioning, grouped by token count; their number is bounded by the alphabet
-of classes and the head's length, not by the lines.
+of classes and the head's length, not by the lines. A head is as long as it must be to reach the message.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import json
 import re
 from collections import Counter
@@ -26,6 +27,7 @@ from cordwood.constants import LEVEL_SPELLINGS
 from cordwood.functions.levels import normalize_level_text
 
 HEAD_TOKENS = 12
+LEVEL_WITHIN = 8  # tokens outside brackets, from the first on, among which the level of a layout stands
 CHUNK_LINES = 4096
 _SPELLINGS = {s for names in LEVEL_SPELLINGS.values() for s in names} | {"CRT", "ERRO", "WAR"}
 _MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
@@ -55,7 +57,8 @@ def head_classes(text: str | None) -> tuple[str, ...]:
     """Classes of the first tokens of a line; () for blank lines and lines that begin with white space.
 
     Words become W, but levels LEVEL and numbers N; punctuation stays. Objects and key=value lines are classed by
-    which of time and level their members hold.
+    which of time and level their members hold. HEAD_TOKENS tokens are taken; where an entry may begin whose message
+    they do not reach, twice as many, and so on, until they do.
     """
     text = (text or "").rstrip("\r\n")
     if not text.strip() or text[0].isspace():
@@ -66,8 +69,12 @@ def head_classes(text: str | None) -> tuple[str, ...]:
             return ("{",)
         return ("OBJECT", *(c for c, keys in (("TIME", TIME_KEYS), ("LEVEL", LEVEL_KEYS)) if any(k in event for k in keys)))
     out: list[str] = []
-    at = 0
-    while at < len(text) and len(out) < HEAD_TOKENS:
+    at, most = 0, HEAD_TOKENS
+    while at < len(text):
+        if len(out) == most:
+            if not _goes_on(tuple(out)):
+                break
+            most *= 2
         m = _SCAN.match(text, at)
         if not m or m.end() == at:
             break
@@ -83,9 +90,22 @@ def head_classes(text: str | None) -> tuple[str, ...]:
             return ("PAIR", *(c for c, names in (("TIME", TIME_KEYS), ("LEVEL", LEVEL_KEYS)) if keys & set(names)))
         out.append(kind)
         at = m.end()
+    if len(out) > HEAD_TOKENS and layout_of(tuple(out)) is None:
+        out = out[:HEAD_TOKENS]
     return tuple(out)
 
 
+@functools.lru_cache(10_000)
+def _goes_on(head: tuple[str, ...]) -> bool:
+    """Whether an entry may begin with head whose message begins behind it, or in its last two tokens, where the mark
+    may be cut off."""
+    when = next((i for i, x in enumerate(head) if x not in _AHEAD), None)
+    if when is None or head[when] not in _TIMES or layout_of(head[:-2]) is not None:
+        return False
+    t = [{x} for x in head]
+    return head[when] == "GLOG" or _level_at(t) is not None or _outside(t, True) < LEVEL_WITHIN
+
+
 def read_object(text: str) -> dict | None:
     try:
         event = json.loads(text, parse_float=str)  # numbers keep their digits as written
@@ -172,6 +192,7 @@ _END = {":", "|", ">", "-", "]"}
 _TIMES = {"STAMP", "CLOCK", "GLOG", "MDAY"}
 _AHEAD = {"LEVEL", "[", "|", "<", "(", "-"}  # what may stand ahead of the time
 _SOURCE = {**_TOKENS, "LEVEL": r"[A-Za-z]+", "N": r"\d+", "W": r"[^\s\[\](){}<>|:,;\"'=]+", "-": "-"}
+_CLOSE = {"[": "]", "(": ")", "{": "}"}
 
 
 class Unsettled(Exception):
@@ -187,6 +208,31 @@ def _all(*answers: bool | None) -> bool:
     return True
 
 
+def _outside(t: list[set[str]], cut: bool = False) -> int:
+    """The number of tokens outside brackets; brackets that stay open count as none, or as closed where t is cut."""
+    n = i = 0
+    while i < len(t):
+        close = next((_CLOSE[x] for x in t[i] if x in _CLOSE), None)
+        end = next((j for j in range(i + 1, len(t)) if close in t[j]), len(t) if cut else None) if close else None
+        n, i = (n, end + 1) if end is not None else (n + 1, i + 1)
+    return n
+
+
+def _level_at(t: list[set[str]]) -> int | None:
+    """The position of the level: the first one with fewer than LEVEL_WITHIN tokens outside brackets ahead of it."""
+    first = next((i for i, x in enumerate(t) if "LEVEL" in x), None)
+    if first is None:
+        return None
+    if first >= LEVEL_WITHIN:
+        if any(len(x) > 1 and x & {*_CLOSE, *_CLOSE.values()} for x in t[:first]):
+            raise Unsettled
+        if _outside(t[:first]) >= LEVEL_WITHIN:
+            return None
+    if len(t[first]) > 1:
+        raise Unsettled
+    return first
+
+
 def layout_of(template: tuple[str | None, ...], slots: list[set[str]] | None = None) -> str | None:
     """The layout of a leaf template: object, pairs, rfc5424, rfc3164, or the pattern that reads its lines; None if
     it does not begin an entry.
@@ -226,7 +272,7 @@ def layout_of(template: tuple[str | None, ...], slots: list[set[str]] | None = N
             return None
         when += 1
     glog = _all(among(when, {"GLOG"}))
-    level = when if glog else next((i for i in range(min(8, len(t))) if _all(among(i, {"LEVEL"}))), None)
+    level = when if glog else _level_at(t)
     if level is None:
         return None
     pattern, i, dashed, seen_part = "^", 0, False, False
@@ -237,8 +283,9 @@ def layout_of(template: tuple[str | None, ...], slots: list[set[str]] | None = N
         elif i == level:
             name = "level"
         elif not seen_part and i > max(when, level):
-            boxed = among(i - 1, {"["})
-            if _all(among(i, {"W"}), among(i + 1, _END), None if boxed is None else not boxed):
+            # a word in brackets that open behind time and level is no component
+            bracket = next((j for j in range(i - 1, max(when, level), -1) if t[j] & {"[", "]"}), -1)
+            if _all(among(i, {"W"}), among(i + 1, _END), bracket < 0 or (t[bracket] == {"]"} if len(t[bracket]) == 1 else None)):
                 name, seen_part = "part", True
         elif not seen_part and when < i < level:
             if _all(among(i, {"W"}), among(i - 1, {"-"}), among(i + 1, {"-"})):

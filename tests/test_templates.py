@@ -86,3 +86,16 @@ def test_leaves_decide_layouts(spark):
     lines = spark.createDataFrame([("a", i, 0, f"{HEAD} {x}", AT, 1) for i, x in enumerate(("x 1", "1 x", "x y"))], SCHEMA)
     rows = T.leaf_templates(lines).collect()
     assert len(rows) == 3 and {r.template for r in rows} == {"STAMP [ LEVEL ] W : W * *"} and len({r.layout for r in rows}) == 1
+
+
+def test_long_heads(spark):
+    stamp = "2024-09-12 11:52:29.106"
+    texts = [
+        f"{stamp} [main] [req 7 of 9] [user a b c] [zone x y] WARN org.tarn.Intake - Slow query",
+        f"{stamp} [ERROR] [a b c d e f g h i j k l m n o p q r s t u v w x y z] SearchNode: Finished",
+        f"{stamp} [ERROR] " + "word " * 5000,
+        f"{stamp} one two three four five six seven eight nine ten eleven ERROR Node: prose",
+        "I0912 19:13:56.577837  14670 [a b c d] ledger.cc:174] Timed out",
+    ]
+    assert [(x[0], x[1], *x[3:6]) for x in found(spark, texts)] == [(1, 1, "Warning", "org.tarn.Intake", 10), (2, 3, "Error", "SearchNode", 8), (5, 1, "Information", "ledger.cc", 9)]
+    assert len(T.head_classes(texts[2])) == T.HEAD_TOKENS and len(T.head_classes(texts[3])) == T.HEAD_TOKENS
