@@ -85,8 +85,8 @@ def resolve(nodes: DataFrame, with_path: bool = False) -> DataFrame:
 def descendants(nodes: DataFrame) -> DataFrame:
     """scope, ancestor, node, distance: every pair of a node and one above it, loops left out.
 
-    Ancestor pairs double their reach in each round: pairs within 2^k levels joined with pairs 2^k further up. The
-    result has as many rows as the nodes have ancestors, which is its nature.
+    The paths that resolve builds on doubling levels are taken apart, so the result has as many rows as the nodes have
+    ancestors, which is its nature.
     """
     trees = resolve(nodes, with_path=True).where("state = 'tree'")
     up = F.posexplode(F.reverse(F.slice("path", 1, F.size("path") - 1)))
@@ -112,6 +112,13 @@ def found(spans: DataFrame) -> DataFrame:
     )
 
 
+def below(spans: DataFrame) -> DataFrame:
+    """trace_id, span_id, descendant_id, distance (in levels): every span that has a root with each span below it."""
+    return descendants(span_links(spans)).select(
+        F.col("scope").alias("trace_id"), F.col("ancestor").alias("span_id"), F.col("node").alias("descendant_id"), "distance"
+    )
+
+
 def paths(spans: DataFrame) -> DataFrame:
     """trace_id, span_id, path (ids from the root joined by /) of every span that has a root."""
     return resolve(span_links(spans), with_path=True).where("state = 'tree'").select(

@@ -36,6 +36,10 @@ def p5_paths(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.paths(table(spark, folder, "trace_spans"))
 
 
+def p5_descendants(spark: SparkSession, folder: str) -> DataFrame:
+    return hierarchy.below(table(spark, folder, "trace_spans"))
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return wide.found(table(spark, folder, "prop_rows"), table(spark, folder, "prop_catalog"))
 
@@ -45,7 +49,7 @@ def p7_wide(spark: SparkSession, folder: str) -> DataFrame:
     return wide.widen(wide.cells(table(spark, folder, "prop_rows"), catalog), wide.header(catalog))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_templates, p4_found, p4_table, p5_found, p5_paths, p7_found, p7_wide)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_templates, p4_found, p4_table, p5_found, p5_paths, p5_descendants, p7_found, p7_wide)}
 _NODES = """n AS (SELECT t, s, nullif(p, '') AS p FROM (
         SELECT lower(trim(trace_id)) AS t, lower(trim(span_id)) AS s, CASE WHEN regexp_full_match(trim(parent_span_id), '0*') THEN NULL ELSE lower(trim(parent_span_id)) END AS p, row_id
         FROM trace_spans WHERE start_ts IS NOT NULL) WHERE t <> '' AND s <> '' QUALIFY row_number() OVER (PARTITION BY t, s ORDER BY row_id) = 1),
@@ -62,6 +66,7 @@ ORACLES: dict[str, str] = {
         SELECT tree.t AS trace_id, tree.s AS span_id, root AS root_span_id, depth, n AS n_desc, 'tree' AS state FROM tree JOIN below USING (t, s)
         UNION ALL SELECT t, s, '', -1, -1, CASE WHEN bool_or(up = s) THEN 'cycle' ELSE 'below' END FROM reach GROUP BY t, s""",
     "p5_paths": f"WITH RECURSIVE {_NODES} SELECT t AS trace_id, s AS span_id, array_to_string(path, '/') AS path FROM tree",
+    "p5_descendants": f"""WITH RECURSIVE {_NODES} SELECT t AS trace_id, unnest(path[:-2]) AS span_id, s AS descendant_id, unnest(range(depth, 0, -1)) AS distance FROM tree WHERE depth > 0""",
     "p7_found": f"""WITH c AS (SELECT prop_name AS name, prop_type, {_PLAIN.format('prop_name')} AS k FROM prop_catalog),
         r AS (SELECT event_id, name, prop_type, op, set_at, row_id, trim(prop_value) AS v FROM prop_rows JOIN c ON {_PLAIN.format('prop_rows.prop_name')} = k WHERE event_id IS NOT NULL),
         x AS (SELECT *, CASE WHEN op <> 'set' OR v IS NULL OR lower(v) IN ('', '-', 'n/a', 'null') THEN NULL WHEN prop_type = 'text' THEN v

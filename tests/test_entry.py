@@ -49,3 +49,10 @@ def test_export_has_every_event(spark, duck):
     rows = entry.queries()["export_formatted_all"](spark, str(DATA)).collect()
     events, without = duck.execute("SELECT count(*), count(*) FILTER (ts IS NULL) FROM (SELECT DISTINCT ON (source, line_number) * FROM log_events)").fetchone()
     assert len(rows) == events and sum(r.value.startswith("[") for r in rows) >= without > 0
+
+
+def test_descendants_are_those_counted(spark):
+    q = entry.queries()
+    counted = {(r.trace_id, r.span_id): r.n_desc for r in q["p5_found"](spark, str(DATA)).where("n_desc > 0").collect()}
+    listed = q["p5_descendants"](spark, str(DATA)).groupBy("trace_id", "span_id").count().collect()
+    assert {(r.trace_id, r.span_id): r["count"] for r in listed} == counted
