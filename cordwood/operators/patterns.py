@@ -12,6 +12,9 @@ from cordwood.functions.masking import signature
 
 
 def with_signature(events: DataFrame) -> DataFrame:
+    """events with their signature, unless they have one already."""
+    if "signature" in events.columns:
+        return events
     return events.withColumn("signature", signature(F.col("level"), F.col("message_template"), F.col("message"), F.col("properties")))
 
 
@@ -43,7 +46,7 @@ def top_patterns(events: DataFrame, min_level: str | None = None, n: int = 10) -
 
 def sample_lines(events: DataFrame, patterns: DataFrame, key: str = "signature", n: int = 3) -> DataFrame:
     """key, sample_lines: the first n line numbers of each pattern of a top list."""
-    rows = events.join(F.broadcast(patterns.select(key)), key, "left_semi")
+    rows = with_signature(events).join(patterns.select(key), key, "left_semi")
     by_line = rows.groupBy(key, F.col("line_number")).agg(F.count("*").alias("_n"))
     ranked = by_line.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("line_number"))).where(F.col("_r") <= n)
     return ranked.groupBy(key).agg(F.array_sort(F.collect_list("line_number")).alias("sample_lines"))
@@ -55,8 +58,9 @@ def pattern_occurrences(events: DataFrame, wanted: str, n: int) -> DataFrame:
 
 
 def top_values(events: DataFrame, field: str, min_level: str | None = None, frame_fallback: bool = False, n: int = 10) -> DataFrame:
-    """The n most frequent values of a field, with the number of distinct signatures under each. Null and blank values
-    are skipped; with frame_fallback they are replaced by the top frame of the exception."""
+    """The n most frequent values of a field, with the number of distinct signatures under each and the three of them
+    seen first. Null and blank values are skipped; with frame_fallback they are replaced by the top frame of the
+    exception."""
     value = F.when(F.trim(resolve(field)) != "", resolve(field))
     if frame_fallback:
         value = F.coalesce(value, top_frame(F.col("exception")))
@@ -67,8 +71,11 @@ def top_values(events: DataFrame, field: str, min_level: str | None = None, fram
     top = shapes.groupBy("value").agg(
         F.sum("_n").alias("count"), F.count("*").alias("signatures"), F.min("_f").alias("_f"), F.max("_l").alias("_l")
     ).orderBy(F.desc("count"), "_f.line_number", "value").limit(n)
-    return top.select(
-        "value", "count", "signatures", F.col("_f.level").alias("level"), F.col("_f.message").alias("sample_message"),
+    # the signatures of the few values on top, each once, ranked by the place where it was seen first
+    seen = shapes.join(top.select("value"), "value", "left_semi").withColumn("_r", F.row_number().over(W.partitionBy("value").orderBy("_f.line_number", "_f.source"))).where("_r <= 3")
+    firsts = seen.groupBy("value").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "signature"))), lambda x: x["signature"]).alias("first_signatures"))
+    return top.join(firsts, "value").orderBy(F.desc("count"), "_f.line_number", "value").select(
+        "value", "count", "signatures", "first_signatures", F.col("_f.level").alias("level"), F.col("_f.message").alias("sample_message"),
         F.col("_f.line_number").alias("first_line"), F.col("_l.line_number").alias("last_line"), F.col("_f.ts").alias("first_ts"), F.col("_l.ts").alias("last_ts"),
     )
 
@@ -77,16 +84,17 @@ def top_error_sources(events: DataFrame, field: str = "SourceContext", min_level
     return top_values(events, field, min_level, True, n)
 
 
-def property_usage(events: DataFrame) -> DataFrame:
-    """name, events: how many events carry each property, most first, then by name without letter case."""
-    names = events.select(F.explode(F.map_keys("properties")).alias("name"))
+def property_usage(events: DataFrame, names: Column | None = None) -> DataFrame:
+    """name, events: how many events carry each property, most first, then by name without letter case. names: the
+    names of an event's properties, if there is no column properties."""
+    names = events.select(F.explode(F.map_keys("properties") if names is None else names).alias("name"))
     return names.groupBy("name").agg(F.count("*").alias("events")).orderBy(F.desc("events"), F.lower("name"), "name")
 
 
-def list_properties(events: DataFrame, sample: int = 2000) -> DataFrame:
+def list_properties(events: DataFrame, sample: int = 2000, names: Column | None = None) -> DataFrame:
     """Names of the properties of the first events (at most 20 000 of them)."""
     first = events.orderBy("line_number", "source").limit(min(sample, 20_000))
-    return first.select(F.explode(F.map_keys("properties")).alias("name")).distinct().orderBy("name")
+    return first.select(F.explode(F.map_keys("properties") if names is None else names).alias("name")).distinct().orderBy("name")
 
 
 def level_counts(events: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cordwood.constants import LEVELS
@@ -68,8 +67,12 @@ def find_next(lines: DataFrame, line_number: int, forward: bool, matches: Callab
     return found.select((F.coalesce("_a", "_b") if wrap else F.col("_a")).alias("line_number"))
 
 
-def count_matches(lines: DataFrame, matches: Callable[[Column], Column]) -> DataFrame:
-    return lines.agg(F.count_if(matches(F.col("text"))).alias("n"))
+def count_matches(lines: DataFrame, matches: Callable[[Column], Column], once: list[str] | None = None) -> DataFrame:
+    """n: the number of hits. Where lines may have been delivered twice, once names their key: only the keys of hits
+    are exchanged."""
+    if once is None:
+        return lines.agg(F.count_if(matches(F.col("text"))).alias("n"))
+    return lines.where(matches(F.col("text"))).select(*once).distinct().agg(F.count("*").alias("n"))
 
 
 # ---- effective times --------------------------------------------------------------------------------------------
@@ -135,8 +138,12 @@ class FilterView:
     collapsed: bool = False
     reference: dt.datetime | None = None
 
-    def predicate(self, columns: list[str]) -> Column:
-        """Over events with text, effective_ts (for times) and head_line (for collapsed ones)."""
+    def predicate(self, columns: list[str], timed: bool | None = None) -> Column:
+        """Over events with text, effective_ts (for times) and head_line (for collapsed ones). timed: only the part
+        that looks at times (True) or only the rest (False)."""
+        return reduce(lambda a, b: a & b, (self._times() if timed is not False else []) + (self._own(columns) if timed is not True else []), F.lit(True))
+
+    def _own(self, columns: list[str]) -> list[Column]:
         parts: list[Column] = []
         if self.text:
             try:
@@ -151,16 +158,20 @@ class FilterView:
             parts.append(F.coalesce(resolve(self.field) == F.lit(self.value), F.lit(False)))
         if self.correlation:
             parts.append(F.contains(F.lower("text"), F.lit(self.correlation.lower())))
+        if self.hide_before is not None:
+            parts.append(F.col("line_number") >= self.hide_before)
+        if self.collapsed:
+            parts.append(F.col("head_line").isNull())
+        return parts
+
+    def _times(self) -> list[Column]:
+        parts: list[Column] = []
         for bound, later in ((self.time_from, False), (self.time_to, True)):
             at = parse_time_query(bound, self.reference) if bound else None
             if at is not None:
                 inside = F.col("effective_ts") <= F.lit(at) if later else F.col("effective_ts") >= F.lit(at)
                 parts.append(F.coalesce(inside, F.lit(False)))
-        if self.hide_before is not None:
-            parts.append(F.col("line_number") >= self.hide_before)
-        if self.collapsed:
-            parts.append(F.col("head_line").isNull())
-        return reduce(lambda a, b: a & b, parts, F.lit(True))
+        return parts
 
     def renamed(self, name: str) -> FilterView:
         return replace(self, name=name)
@@ -170,6 +181,16 @@ def apply_filters(rows: DataFrame, view: FilterView) -> DataFrame:
     return rows.where(view.predicate(rows.columns))
 
 
+def filtered(rows: DataFrame, view: FilterView, own: Column) -> DataFrame:
+    """rows that pass a view, own being their own time. Texts are looked at where they lie; only line numbers and times
+    of all rows move to find the effective times, and these meet the rows that are left."""
+    left = rows.where(view.predicate(rows.columns, False))
+    if not view.time_from and not view.time_to:
+        return left
+    times = with_effective_ts(rows.select("source", "line_number", own.alias("_own")).distinct(), F.col("_own")).where(view.predicate([], True))
+    return left.join(times.select("source", "line_number"), ["source", "line_number"], "left_semi")
+
+
 def filter_correlation(lines: DataFrame, value: str) -> DataFrame:
     """Lines of any source that hold an id, without letter case."""
     return lines.where(F.contains(F.lower("text"), F.lit(value.lower())))
@@ -205,8 +226,9 @@ def event_log_filter(rules: list[EventRule], message: str = "message", provider:
 
 
 def search_event_log(rows: DataFrame, rules: list[EventRule], pattern: str, regex: bool = False, case: bool = False, order: str = "record_id") -> DataFrame:
-    """Rows that pass the rules and hold the pattern, with line_number: the place among those that pass the rules."""
-    passing = rows.where(event_log_filter(rules)).withColumn("line_number", F.row_number().over(W.partitionBy("source").orderBy(order)))
+    """Rows that pass the rules and hold the pattern, with line_number: the place among those that pass the rules, by
+    order, a whole number."""
+    passing = running(rows.where(event_log_filter(rules)).drop("line_number"), ["source"], order, sums={"line_number": F.lit(1)})
     return passing.where(line_matcher(pattern, regex, case)(F.col("text"))) if pattern else passing.limit(0)
 
 

@@ -66,13 +66,15 @@ def volume_spikes(
 
 def new_patterns(events: DataFrame, warmup: int = K.NOVELTY_WARMUP, min_severity: int = K.NOVELTY_SEVERITY) -> DataFrame:
     """Events that are the first of their severity and masked message in their source, past the source's first warmup
-    observed events, of at least min_severity. events: source, line_number, message, severity.
+    events, of at least min_severity. events: source, line_number, message, severity. Every event counts towards the
+    warm-up, whatever its severity and also without one; copies of a line count once.
 
-    The first event of each shape is found by an aggregation, not by sorting shapes; an event's place among the
-    observed ones of its source is counted over chunks of lines.
+    The first event of each shape is found by an aggregation, not by sorting shapes; an event's place in its source is
+    counted over chunks of lines, from line numbers alone.
     """
-    seen = events.where("severity is not null").withColumn("shape", mask(F.col("message")))
-    first = seen.where(F.col("severity") >= min_severity).groupBy("source", "severity", "shape").agg(F.min(F.struct("line_number", "message")).alias("_f"))
+    grave = events.where(F.col("severity") >= min_severity).withColumn("shape", mask(F.col("message")))
+    first = grave.groupBy("source", "severity", "shape").agg(F.min(F.struct("line_number", "message")).alias("_f"))
+    seen = events.where("line_number is not null").select("source", "line_number").distinct()
     chunk = F.floor(F.col("line_number") / 65536)
     counts = seen.groupBy("source", chunk.alias("_c")).agg(F.count("*").alias("_n"))
     base = counts.withColumn("_base", F.coalesce(F.sum("_n").over(W.partitionBy("source").orderBy("_c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))

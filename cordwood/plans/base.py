@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cordwood.constants import LEVEL_SPELLINGS, LEVEL_WORDS, RANKED_SPELLINGS
@@ -10,13 +10,30 @@ from cordwood.session import table
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
-    """log_events, copies once."""
-    return table(spark, folder, "log_events").dropDuplicates(["source", "line_number"])
+    """log_events as delivered, with exact copies of some rows; once() and its kin take them out where it matters."""
+    return table(spark, folder, "log_events")
 
 
 def lines(spark: SparkSession, folder: str) -> DataFrame:
-    """tail_lines, copies once."""
-    return table(spark, folder, "tail_lines").dropDuplicates(["source", "line_number"])
+    """tail_lines as delivered."""
+    return table(spark, folder, "tail_lines")
+
+
+def once(rows: DataFrame, *columns: Column | str) -> DataFrame:
+    """source, line_number and columns, copies once. It stands behind filters and projections, so that only what the
+    result holds is exchanged; copies are exact, so rows that differ are different rows."""
+    return rows.select("source", "line_number", *columns).distinct()
+
+
+def once_each(rows: DataFrame) -> DataFrame:
+    """rows, copies once, where they hold maps, which can't be compared; for what is left behind a filter."""
+    return rows.dropDuplicates(["source", "line_number"])
+
+
+def narrow(rows: DataFrame, columns: list[str], names: list[str]) -> DataFrame:
+    """source, line_number, columns and properties with no more than names, copies once."""
+    held = once(rows, *columns, *[F.try_element_at("properties", F.lit(n)).alias(f"_p{i}") for i, n in enumerate(names)])
+    return held.select("source", "line_number", *columns, F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.col(f"_p{i}"))]).alias("properties"))
 
 
 def event_log(spark: SparkSession, folder: str) -> DataFrame:

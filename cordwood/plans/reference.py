@@ -44,14 +44,14 @@ def us(c: str):
 @query(f"WITH {B.E} SELECT level, {B.normal('level')} AS normalized, {B.rank('level')} AS severity, {B.rank(B.normal('level'))} AS normal_severity, count(*) AS n FROM e GROUP BY level")
 def level_normalize(spark, d):
     level = F.col("level")
-    rows = B.events(spark, d).groupBy("level").agg(F.count("*").alias("n"))
+    rows = B.once(B.events(spark, d), "level").groupBy("level").agg(F.count("*").alias("n"))
     normal = levels.normalize_level(level)
     return rows.select("level", normal.alias("normalized"), levels.severity(level).alias("severity"), levels.severity(normal).alias("normal_severity"), "n")
 
 
 @query(f"WITH {B.L} SELECT {B.guess('text')} AS severity, count(*) AS n FROM l GROUP BY 1")
 def severity_guess(spark, d):
-    return B.lines(spark, d).groupBy(levels.guess_severity(F.col("text")).alias("severity")).agg(F.count("*").alias("n"))
+    return B.once(B.lines(spark, d), levels.guess_severity(F.col("text")).alias("severity")).groupBy("severity").agg(F.count("*").alias("n"))
 
 
 @query("SELECT s AS status, CASE WHEN s >= 500 THEN 'Error' WHEN s >= 400 THEN 'Warning' ELSE 'Information' END AS level, count(*) AS n FROM (SELECT user_id % 500 + 100 AS s FROM events) GROUP BY 1, 2")
@@ -68,17 +68,17 @@ def syslog_level(spark, d):
 
 @query(f"WITH {B.E} SELECT source, line_number, {B.mask('message')} AS masked FROM e")
 def mask_message(spark, d):
-    return B.events(spark, d).select("source", "line_number", masking.mask(F.col("message")).alias("masked"))
+    return B.once(B.events(spark, d), masking.mask(F.col("message")).alias("masked"))
 
 
 @query(f"WITH {B.E} SELECT source, line_number, {B.signature()} AS signature FROM e")
 def signature(spark, d):
-    return patterns.with_signature(B.events(spark, d)).select("source", "line_number", "signature")
+    return B.once(patterns.with_signature(B.events(spark, d)), "signature")
 
 
 @query(f"WITH {B.E} SELECT source, line_number, nullif(trim(regexp_extract(exception, '(?m)^\\s*at\\s+(.+?)\\(', 1)), '') AS frame FROM e WHERE exception IS NOT NULL")
 def top_frame(spark, d):
-    return B.events(spark, d).where("exception is not null").select("source", "line_number", fields.top_frame(F.col("exception")).alias("frame"))
+    return B.once(B.events(spark, d).where("exception is not null"), fields.top_frame(F.col("exception")).alias("frame"))
 
 
 _ENDINGS = "|".join(fields.ID_ENDINGS)
@@ -95,13 +95,13 @@ def correlation_ids(spark, d):
     """source, line_number, name, value of every id of every event."""
     e = B.events(spark, d)
     ids = fields.correlation_ids(F.col("message"), F.col("trace_id"), F.col("span_id"), F.col("properties"))
-    return e.select("source", "line_number", F.inline(ids))
+    return e.select("source", "line_number", F.inline(ids)).distinct()
 
 
 @query(f"WITH {B.L} SELECT source, line_number, upper(substr(sha256(text), 1, 16)) AS hash, CASE WHEN length(text) > 40 THEN substr(text, 1, 40) || '…(truncated)' ELSE text END AS cut FROM l")
 def hash_and_truncate(spark, d):
     t = F.col("text")
-    return B.lines(spark, d).select("source", "line_number", text.text_hash(t).alias("hash"), text.truncate(t, 40).alias("cut"))
+    return B.once(B.lines(spark, d), text.text_hash(t).alias("hash"), text.truncate(t, 40).alias("cut"))
 
 
 _DELTA = """CASE WHEN u IS NULL THEN NULL WHEN abs(u) < 1000000 THEN s || (abs(u) // 1000) || 'ms'
@@ -113,7 +113,7 @@ _EFFECTIVE = f"WITH {B.E}, t AS (SELECT source, line_number, epoch_us(ts) AS own
 
 
 def timed(spark, d) -> DataFrame:
-    return search.with_effective_ts(B.events(spark, d), F.col("ts"))
+    return search.with_effective_ts(B.once(B.events(spark, d), "ts"), F.col("ts"))
 
 
 @query(f"{_EFFECTIVE} SELECT source, line_number, own AS own_us, eff AS effective_us FROM t")
@@ -141,23 +141,25 @@ def span_durations(spark, d):
 
 @query(f"WITH {B.L} SELECT source, line_number, text FROM l WHERE contains(lower(text), 'timed out')")
 def search_substring(spark, d):
-    return search.search(B.lines(spark, d), "Timed Out").select("source", "line_number", "text")
+    return B.once(search.search(B.lines(spark, d), "Timed Out"), "text")
 
 
 @query(f"WITH {B.L} SELECT source, line_number, text FROM l WHERE regexp_matches(text, 'ref_[0-9]+: limit [0-9]{{3}} ')")
 def search_regex(spark, d):
-    return search.search(B.lines(spark, d), "ref_[0-9]+: limit [0-9]{3} ", True, True).select("source", "line_number", "text")
+    return B.once(search.search(B.lines(spark, d), "ref_[0-9]+: limit [0-9]{3} ", True, True), "text")
 
 
 @query(f"WITH {B.E} SELECT source, line_number FROM e WHERE contains(lower(properties['SourceContext']), 'gateway')")
 def search_property(spark, d):
-    hit = search.line_matcher("Gateway")(fields.resolve("SourceContext"))
-    return B.events(spark, d).where(hit).select("source", "line_number")
+    """Over the events as compact JSON lines."""
+    event = F.map_concat(F.create_map(F.lit("@t"), iso(), F.lit("@mt"), F.lit("event")), "properties")
+    lines = B.events(spark, d).select("source", "line_number", F.to_json(event).alias("text"))
+    return B.once(search.search(lines, "Gateway", prop="SourceContext"))
 
 
 @query(f"WITH {B.L} SELECT count(*) AS n FROM l WHERE contains(lower(text), 'error')")
 def count_matches(spark, d):
-    return search.count_matches(B.lines(spark, d), search.line_matcher("error"))
+    return search.count_matches(B.lines(spark, d), search.line_matcher("error"), ["source", "line_number"])
 
 
 @query(f"WITH {B.V} SELECT min(line_number) AS line_number FROM v WHERE line_number > 500 AND contains(message, 'signup')")
@@ -184,18 +186,18 @@ def line_context(spark, d):
       AND eff >= epoch_us(TIMESTAMP '2024-09-05') AND eff <= epoch_us(TIMESTAMP '2024-09-09') AND e.line_number >= 10""")
 def filter_view(spark, d):
     view = search.FilterView("view", text="heartbeat|quota", exclude=True, min_level="Warning", time_from="2024-09-05", time_to="2024-09-09", hide_before=10)
-    return search.apply_filters(timed(spark, d).withColumn("text", F.col("message")), view).select("source", "line_number")
+    return B.once(search.filtered(B.events(spark, d).withColumn("text", F.col("message")), view, F.col("ts")))
 
 
 @query(f"WITH {B.E} SELECT source, line_number FROM e WHERE properties['ThreadId'] = '7'")
 def filter_property(spark, d):
     view = search.FilterView(field="ThreadId", value="7")
-    return search.apply_filters(B.events(spark, d), view).select("source", "line_number")
+    return B.once(search.apply_filters(B.events(spark, d), view))
 
 
 @query(f"WITH {B.E} SELECT source, line_number FROM e WHERE contains(lower(message), '10.1')")
 def filter_correlation(spark, d):
-    return search.filter_correlation(B.events(spark, d).withColumn("text", F.col("message")), "10.1").select("source", "line_number")
+    return B.once(search.filter_correlation(B.events(spark, d).withColumn("text", F.col("message")), "10.1"))
 
 
 @query(f"""WITH {B.E}, lo AS (SELECT source, min(line_number) AS lo FROM e WHERE ts >= TIMESTAMP '2024-09-05' GROUP BY source),
@@ -203,14 +205,14 @@ def filter_correlation(spark, d):
     SELECT e.source, e.line_number FROM e JOIN lo USING (source) LEFT JOIN hi USING (source) WHERE line_number >= lo AND (hi IS NULL OR line_number < hi)
       AND (line_number > lo OR NOT coalesce(ts > TIMESTAMP '2024-09-09', false))""")
 def time_range(spark, d):
-    rows = B.events(spark, d).withColumn("own_ts", F.col("ts"))
+    rows = B.once(B.events(spark, d), F.col("ts").alias("own_ts"))
     return search.time_range(rows, FROM, TO).select("source", "line_number")
 
 
 @query(f"""WITH {B.E}, m AS (SELECT source, max(line_number) AS top FROM e GROUP BY source)
     SELECT source, epoch_us(arg_max(ts, line_number)) AS us FROM e JOIN m USING (source) WHERE line_number > top - 500 AND ts IS NOT NULL GROUP BY source""")
 def latest_ts(spark, d):
-    return search.latest_ts(B.events(spark, d).withColumn("own_ts", F.col("ts"))).select("source", us("ts").alias("us"))
+    return search.latest_ts(B.once(B.events(spark, d), F.col("ts").alias("own_ts"))).select("source", us("ts").alias("us"))
 
 
 @query(f"WITH {B.V} SELECT line_number, message FROM v WHERE line_number > 950 ORDER BY line_number LIMIT 20")
@@ -228,12 +230,13 @@ def _channel(spark, d) -> DataFrame:
 
 @query(f"WITH {B.E} SELECT source, line_number FROM e WHERE {_PASS}")
 def event_log_filters(spark, d):
-    return _channel(spark, d).where(search.event_log_filter(_RULES)).select("source", "line_number")
+    return B.once(_channel(spark, d).where(search.event_log_filter(_RULES)))
 
 
 @query(f"WITH {B.E}, p AS (SELECT source, event_id, message, row_number() OVER (PARTITION BY source ORDER BY line_number) AS line_number FROM e WHERE {_PASS}) SELECT source, event_id, line_number FROM p WHERE contains(lower(message), 'ticket')")
 def search_event_log(spark, d):
-    return search.search_event_log(_channel(spark, d), _RULES, "ticket").select("source", "event_id", "line_number")
+    passing = B.once(_channel(spark, d).where(search.event_log_filter(_RULES)), "event_id", "message", "provider", "level", "text", "record_id")
+    return search.search_event_log(passing, _RULES, "ticket").select("source", "event_id", "line_number")
 
 
 @query(f"""WITH {B.E} SELECT line_number, epoch_us(ts) AS us, level, properties['SourceContext'] AS SourceContext, properties['Elapsed'] AS Elapsed, message FROM e
@@ -241,12 +244,18 @@ def search_event_log(spark, d):
       AND (contains(lower(message), 'slow') OR contains(lower(level), 'slow') OR contains(lower(coalesce(properties['SourceContext'], '')), 'slow') OR contains(lower(coalesce(properties['Elapsed'], '')), 'slow'))""")
 def grid(spark, d):
     filters = (grids.ValueFilter("ThreadId", None), grids.ValueFilter("SourceContext", "Tarn.Gateway", True))
-    rows = grids.grid(B.events(spark, d), ["SourceContext", "Elapsed"], filters, "Slow", "Elapsed", True)
+    rows = grids.grid(B.once_each(grids.filtered(B.events(spark, d), ["SourceContext", "Elapsed"], filters, "Slow")), ["SourceContext", "Elapsed"], filters, "Slow", "Elapsed", True)
     return rows.withColumn("us", us("ts")).drop("ts")
 
 
 # ---- aggregations -----------------------------------------------------------------------------------------------
 
+def _shapes(spark, d, *more: str, where=None) -> DataFrame:
+    """Events with their signature, copies once; neither templates nor properties move."""
+    rows = B.events(spark, d)
+    return B.once(patterns.with_signature(rows if where is None else rows.where(where)), "signature", *more)
+
+
 _S = f"s AS (SELECT *, {B.signature()} AS signature FROM e)"
 _TOP = "row_number() OVER (ORDER BY line_number, source)"
 _FIRST = "arg_min({}, (line_number, source))"
@@ -255,51 +264,67 @@ _FIRST = "arg_min({}, (line_number, source))"
 @query(f"""WITH {B.E}, {_S} SELECT signature, count(*) AS count, min(line_number) AS first_line, max(line_number) AS last_line,
     min(struct_pack(a := line_number, b := source, c := coalesce(level, ''))).c AS level, min(struct_pack(a := line_number, b := source, c := coalesce(message, ''))).c AS sample_message,
     nullif(min(struct_pack(a := line_number, b := source, c := coalesce(epoch_us(ts), -1))).c, -1) AS first_us,
-    nullif(max(struct_pack(a := line_number, b := source, c := coalesce(epoch_us(ts), -1))).c, -1) AS last_us
+    nullif(max(struct_pack(a := line_number, b := source, c := coalesce(epoch_us(ts), -1))).c, -1) AS last_us, list_sort(list_distinct(list(line_number)))[1:3] AS sample_lines
     FROM s GROUP BY signature ORDER BY count DESC, first_line, signature LIMIT 20""")
 def top_patterns(spark, d):
-    rows = patterns.top_patterns(B.events(spark, d), None, 20)
-    return rows.select("signature", "count", "first_line", "last_line", "level", "sample_message", us("first_ts").alias("first_us"), us("last_ts").alias("last_us"))
+    """With the first three line numbers of each."""
+    rows = _shapes(spark, d, "ts", "level", "message")
+    top = patterns.top_patterns(rows, None, 20)
+    top = top.join(patterns.sample_lines(rows, top), "signature")
+    return top.select("signature", "count", "first_line", "last_line", "level", "sample_message", us("first_ts").alias("first_us"), us("last_ts").alias("last_us"), "sample_lines")
+
 
+def _values(value: str, least: int) -> str:
+    return f"""WITH {B.E}, {_S}, x AS (SELECT {value} AS value, signature, line_number, source FROM s WHERE coalesce({B.rank('level')}, -1) >= {least}),
+    h AS (SELECT value, signature, count(*) AS n, min(line_number) AS a, max(line_number) AS b, min(struct_pack(a := line_number, b := source)) AS p FROM x WHERE value IS NOT NULL GROUP BY 1, 2)
+    SELECT value, sum(n)::BIGINT AS count, count(*) AS signatures, min(a) AS first_line, max(b) AS last_line, list(signature ORDER BY p)[1:3] AS first_signatures
+    FROM h GROUP BY value ORDER BY count DESC, first_line, value LIMIT 20"""
 
-@query(f"WITH {B.E}, {_S} SELECT properties['SourceContext'] AS value, count(*) AS count, count(DISTINCT signature) AS signatures, min(line_number) AS first_line, max(line_number) AS last_line FROM s WHERE coalesce(trim(properties['SourceContext']), '') <> '' AND coalesce({B.rank('level')}, -1) >= 3 GROUP BY 1 ORDER BY count DESC, first_line, value LIMIT 20")
+
+@query(_values("CASE WHEN trim(properties['SourceContext']) <> '' THEN properties['SourceContext'] END", 3))
 def top_values(spark, d):
-    return patterns.top_values(B.events(spark, d), "SourceContext", "Warning", False, 20).select("value", "count", "signatures", "first_line", "last_line")
+    rows = B.once_each(B.events(spark, d).where(patterns.at_least("Warning")))
+    return patterns.top_values(rows, "SourceContext", "Warning", False, 20).select("value", "count", "signatures", "first_line", "last_line", "first_signatures")
 
 
 _SOURCE = "coalesce(nullif(trim(properties['SourceContext']), ''), nullif(trim(regexp_extract(exception, '(?m)^\\s*at\\s+(.+?)\\(', 1)), ''))"
 
 
-@query(f"WITH {B.E}, {_S} SELECT {_SOURCE} AS value, count(*) AS count, count(DISTINCT signature) AS signatures, min(line_number) AS first_line, max(line_number) AS last_line FROM s WHERE {_SOURCE} IS NOT NULL AND coalesce({B.rank('level')}, -1) >= 4 GROUP BY 1 ORDER BY count DESC, first_line, value LIMIT 20")
+@query(_values(_SOURCE, 4))
 def top_error_sources(spark, d):
-    return patterns.top_error_sources(B.events(spark, d), n=20).select("value", "count", "signatures", "first_line", "last_line")
+    rows = B.once_each(B.events(spark, d).where(patterns.at_least("Error")))
+    return patterns.top_error_sources(rows, n=20).select("value", "count", "signatures", "first_line", "last_line", "first_signatures")
 
 
 @query(f"WITH {B.E}, {_S}, t AS (SELECT signature FROM s GROUP BY signature ORDER BY count(*) DESC, min(line_number), signature LIMIT 1) SELECT source, line_number, message FROM s JOIN t USING (signature) ORDER BY line_number, source LIMIT 50")
 def pattern_occurrences(spark, d):
-    e = B.events(spark, d)
+    e = _shapes(spark, d, "ts", "level", "message")
     top = patterns.top_patterns(e, None, 1).first()
     return patterns.pattern_occurrences(e, top.signature if top else "", 50).select("source", "line_number", "message")
 
 
+def _names():
+    return F.array_sort(F.map_keys("properties")).alias("names")
+
+
 @query(f"WITH {B.E} SELECT name, count(*) AS events FROM (SELECT unnest(map_keys(properties)) AS name FROM e) GROUP BY name")
 def property_usage(spark, d):
-    return patterns.property_usage(B.events(spark, d))
+    return patterns.property_usage(B.once(B.events(spark, d), _names()), F.col("names"))
 
 
 @query(f"WITH {B.E} SELECT DISTINCT unnest(map_keys(properties)) AS name FROM (SELECT * FROM e ORDER BY line_number, source LIMIT 2000)")
 def list_properties(spark, d):
-    return patterns.list_properties(B.events(spark, d), 2000)
+    return patterns.list_properties(B.once(B.events(spark, d), _names()), 2000, F.col("names"))
 
 
 @query(f"WITH {B.E} SELECT count(*) FILTER ({B.rank('level')} >= 4) AS errors, count(*) FILTER ({B.rank('level')} = 3) AS warnings, count(*) AS total FROM e")
 def level_counts(spark, d):
-    return patterns.level_counts(B.events(spark, d))
+    return patterns.level_counts(B.once(B.events(spark, d), "level"))
 
 
 @query(f"WITH {B.L} SELECT epoch_us(date_trunc('second', read_at)) AS second_us, count(*) AS lines FROM l GROUP BY 1")
 def line_rate(spark, d):
-    return patterns.line_rate(B.lines(spark, d)).select(us("second").alias("second_us"), "lines")
+    return patterns.line_rate(B.once(B.lines(spark, d), "read_at")).select(us("second").alias("second_us"), "lines")
 
 
 _WIDTH = "list_filter([" + ", ".join(str(w * 1000) for w in NICE_WIDTHS_MS) + "]::BIGINT[], lambda w: (hi - lo) / w <= 120)[1]"
@@ -330,13 +355,25 @@ def volume_spikes(spark, d):
     return volume.volume_spikes(_bins(spark, d)).select("bin", "is_volume_spike", "is_error_spike")
 
 
-@query(f"""WITH {B.E}, o AS (SELECT source, line_number, {B.rank('level')} AS severity, message FROM e WHERE {B.rank('level')} IS NOT NULL),
-    p AS (SELECT *, {B.mask('message')} AS shape, row_number() OVER (PARTITION BY source ORDER BY line_number) AS place FROM o),
+def _fresh(warmup: int) -> str:
+    return f"""WITH {B.E}, p AS (SELECT source, line_number, {B.rank('level')} AS severity, {B.mask('message')} AS shape, row_number() OVER (PARTITION BY source ORDER BY line_number) AS place FROM e),
     f AS (SELECT *, row_number() OVER (PARTITION BY source, severity, shape ORDER BY line_number) AS nth FROM p WHERE severity >= 3)
-    SELECT source, line_number, severity, shape FROM f WHERE nth = 1 AND place > 50""")
-def new_patterns(spark, d):
+    SELECT source, line_number, severity, shape FROM f WHERE nth = 1 AND place > {warmup}"""
+
+
+def _new_patterns(spark, d, warmup: int) -> DataFrame:
     rows = B.events(spark, d).withColumn("severity", levels.severity(F.col("level")))
-    return volume.new_patterns(rows, 50).select("source", "line_number", "severity", "shape")
+    return volume.new_patterns(rows, warmup).select("source", "line_number", "severity", "shape")
+
+
+@query(_fresh(50))
+def new_patterns(spark, d):
+    return _new_patterns(spark, d, 50)
+
+
+@query(_fresh(200))
+def new_patterns_200(spark, d):
+    return _new_patterns(spark, d, 200)
 
 
 _TYPE = "regexp_extract(exception, '((?:[A-Za-z_][\\w$]*\\.)*[A-Za-z_][\\w$]*(?:Exception|Error|Fault))', 1)"
@@ -347,7 +384,7 @@ _TYPE = "regexp_extract(exception, '((?:[A-Za-z_][\\w$]*\\.)*[A-Za-z_][\\w$]*(?:
     g AS (SELECT *, type || '|' || CASE WHEN len(frames) > 0 THEN array_to_string(frames[1:3], '|') ELSE regexp_replace(regexp_extract(head, ':\\s*(.*)', 1), '\\d+', '#', 'g') END AS signature FROM x)
     SELECT signature, type, count(*) AS count, min(line_number) AS first_line, max(line_number) AS last_line FROM g GROUP BY signature, type""")
 def exception_groups(spark, d):
-    e = B.events(spark, d)
+    e = B.once(B.events(spark, d).where("coalesce(exception, '') <> ''"), "ts", "exception")
     rows = exceptions.occurrences(e.select("source", "line_number", F.lit("").alias("text")), e)
     return exceptions.groups(rows).select("signature", "type", "count", "first_line", "last_line")
 
@@ -373,13 +410,13 @@ _PROX = f"""WITH {B.E}, a AS (SELECT *, coalesce(properties['ThreadId'], chr(0))
 
 @query(f"{_PROX} SELECT source, min(line_number) AS first_line, max(line_number) AS last_line, count(*) AS lines, coalesce(bool_or({B.rank('level')} >= 4), false) AS has_error FROM f GROUP BY source, th, sess, sub")
 def blocks_proximity(spark, d):
-    made = blocks.block_summary(blocks.blocks_by_proximity(B.events(spark, d)))
+    made = blocks.block_summary(blocks.blocks_by_proximity(B.narrow(B.events(spark, d), ["ts", "level", "message"], ["ThreadId"])))
     return made.select(F.substring_index("block_id", "\x1f", 1).alias("source"), "first_line", "last_line", "lines", "has_error")
 
 
 @query(f"WITH {B.E} SELECT source, properties['SourceContext'] AS value, min(line_number) AS first_line, max(line_number) AS last_line, count(*) AS lines FROM e WHERE coalesce(properties['SourceContext'], '') <> '' GROUP BY 1, 2")
 def blocks_correlation(spark, d):
-    made = blocks.blocks_by_correlation(B.events(spark, d), "SourceContext")
+    made = blocks.blocks_by_correlation(B.narrow(B.events(spark, d), [], ["SourceContext"]), "SourceContext")
     return made.groupBy("source", fields.resolve("SourceContext").alias("value"), "block_id").agg(
         F.min("line_number").alias("first_line"), F.max("line_number").alias("last_line"), F.count("*").alias("lines")).drop("block_id")
 
@@ -390,14 +427,14 @@ def blocks_correlation(spark, d):
     r AS (SELECT *, sum(CASE WHEN op IS NULL OR (look >= op AND coalesce(sline - lp > 20, false)) THEN 1 ELSE 0 END) OVER (PARTITION BY source, val ORDER BY line_number) AS g FROM q)
     SELECT source, val AS value, min(line_number) AS first_line, count(*) AS lines FROM r GROUP BY source, val, g""")
 def blocks_quiet(spark, d):
-    made = blocks.blocks_by_correlation(B.events(spark, d), "SourceContext", quiet=20, sweep=10)
+    made = blocks.blocks_by_correlation(B.narrow(B.events(spark, d), [], ["SourceContext"]), "SourceContext", quiet=20, sweep=10)
     return made.groupBy("source", fields.resolve("SourceContext").alias("value"), "block_id").agg(F.min("line_number").alias("first_line"), F.count("*").alias("lines")).drop("block_id")
 
 
 @query()
 def similar_blocks(spark, d):
     """Blocks of all sources most like the one around line 20 of the source with most events."""
-    made = cut(blocks.blocks_by_proximity(B.events(spark, d), gap_us=120_000_000))
+    made = cut(blocks.blocks_by_proximity(B.narrow(patterns.with_signature(B.events(spark, d)), ["ts", "signature"], ["ThreadId"]), gap_us=120_000_000))
     anchor = blocks.block_containing(made, 20)
     mine = made.join(F.broadcast(anchor), "block_id", "left_semi").drop("block_id")
     return blocks.similar_blocks(mine, made, 10)
@@ -406,7 +443,7 @@ def similar_blocks(spark, d):
 @query()
 def compare_sources(spark, d):
     e = B.events(spark, d)
-    return blocks.align(e.where("source = 'stock-core'"), e.where("source = 'pricing-core'"))
+    return blocks.align(B.once_each(e.where("source = 'stock-core'")), B.once_each(e.where("source = 'pricing-core'")))
 
 
 @query(f"WITH {B.V} SELECT line_number FROM v WHERE user_id = 7")
@@ -444,13 +481,13 @@ _PRESETS = [
     WHEN regexp_matches(message, 'ref_[0-9]{{6}}') THEN 'ref' WHEN contains(lower(level), 'fatal') THEN 'fatal' END AS rule_id FROM e""")
 def highlight_first_match(spark, d):
     rows = highlight.highlight(B.events(spark, d).withColumn("text", F.col("message")), _PRESETS)
-    return rows.select("source", "line_number", "rule_id")
+    return B.once(rows, "rule_id")
 
 
 @query()
 def highlight_spans(spark, d):
     rows = highlight.with_spans(B.events(spark, d).withColumn("text", F.col("message")), _PRESETS)
-    return rows.select("source", "line_number", "rule_id", F.inline("spans"))
+    return rows.select("source", "line_number", "rule_id", F.inline("spans")).distinct()
 
 
 @query()
@@ -458,7 +495,7 @@ def alert_threshold(spark, d):
     """Alerts of two rules over all events: three errors within ten minutes, five warnings within an hour."""
     rules = [highlight.Rule("errors", "x", threshold=3, window_us=600_000_000), highlight.Rule("warnings", "x", threshold=5, window_us=3_600_000_000)]
     rank = levels.severity(F.col("level"))
-    hits = B.events(spark, d).withColumn("rule_id", F.when(rank >= 4, "errors").when(rank == 3, "warnings"))
+    hits = B.once(B.events(spark, d).where((rank >= 3) & F.col("ts").isNotNull()), "ts", "event_id", F.when(rank >= 4, "errors").otherwise("warnings").alias("rule_id"))
     return highlight.threshold_alerts(hits.select("rule_id", "ts", F.col("event_id").alias("line_number")), rules)
 
 
@@ -497,22 +534,15 @@ def incident_report(spark, d):
     return spark.createDataFrame(list(enumerate(annotations.report_markdown(report).split("\n"))), "n long, text string")
 
 
-@query(f"WITH {B.E} SELECT source, line_number, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' [' || coalesce(level, 'Information') || '] ' || message || CASE WHEN coalesce(exception, '') <> '' THEN chr(10) || exception ELSE '' END AS value FROM e WHERE ts IS NOT NULL")
-def export_formatted(spark, d):
-    """The events with a time, which are all that the SQL has; export_formatted_all has every event."""
-    e = B.events(spark, d).where("ts is not null")
-    return annotations.formatted(e.select("source", "line_number", F.col("message").alias("text")), e)
-
-
 @query(f"WITH {B.E} SELECT source, line_number, coalesce(strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' ', '') || '[' || coalesce(level, 'Information') || '] ' || message || CASE WHEN coalesce(exception, '') <> '' THEN chr(10) || exception ELSE '' END AS value FROM e")
-def export_formatted_all(spark, d):
-    e = B.events(spark, d)
+def export_formatted(spark, d):
+    e = B.once(B.events(spark, d), "ts", "level", "message", "exception")
     return annotations.formatted(e.select("source", "line_number", F.col("message").alias("text")), e)
 
 
 @query()
 def export_json(spark, d):
-    e = B.events(spark, d)
+    e = B.once_each(B.events(spark, d))
     columns = ["source", "line_number", "ts", "ts_offset_min", "level", "message_template", "message", "exception", "properties", "trace_id", "span_id"]
     return annotations.export_json(e.select("source", "line_number", F.col("message").alias("text")), e.select(*columns))
 
@@ -520,13 +550,13 @@ def export_json(spark, d):
 @query(f"WITH {B.E} SELECT source, line_number, strftime(ts, '%Y-%m-%d %H:%M:%S') || ' [' || coalesce(level, 'Information') || '] ' || coalesce(properties['SourceContext'], '') || ': ' || trim(message) AS text FROM e")
 def event_log_lines(spark, d):
     line = exported.event_log_line(F.col("ts"), F.col("level"), fields.resolve("SourceContext"), F.col("message"))
-    return B.events(spark, d).select("source", "line_number", line.alias("text"))
+    return B.once(B.events(spark, d), line.alias("text"))
 
 
 @query(f"""WITH {B.E}, k AS (SELECT source, line_number, message, last_value(ts IGNORE NULLS) OVER (PARTITION BY source ORDER BY line_number ROWS UNBOUNDED PRECEDING) AS key FROM e)
     SELECT row_number() OVER (ORDER BY key NULLS FIRST, source, line_number) AS line_number, source, line_number AS source_line, source || '│ ' || message AS text FROM k""")
 def merge_sources(spark, d):
-    rows = B.events(spark, d).withColumn("text", F.col("message"))
+    rows = B.once(B.events(spark, d), "ts", F.col("message").alias("text"))
     return merge.merge(rows, time=F.col("ts")).select("line_number", "source", "source_line", "text")
 
 
@@ -612,7 +642,7 @@ def parse_custom(spark, d):
 def parse_plain(spark, d):
     line = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" ["), F.upper("level"), F.lit("] "), "message")
     rows = _typed(spark, d, line, "plain")
-    return rows.select("line_number", us("ts").alias("us"), F.when(F.col("message").contains("error"), F.col("level")).otherwise(F.col("level")).alias("level"), "message")
+    return rows.select("line_number", us("ts").alias("us"), "level", "message")
 
 
 @query()
@@ -623,4 +653,6 @@ def detect_formats(spark, d):
 @query()
 def continuation_lines(spark, d):
     rows = B.lines(spark, d)
-    return join_continuations(rows.select("source", "line_number", "text"), parse(rows, EXAMPLES[0])).select("source", "line_number", "owner", "level")
+    first = B.once(rows, F.substring("text", 1, 1).alias("text"))  # all that tells a blank line
+    heads = B.once(parse(rows, EXAMPLES[0]), "level")
+    return join_continuations(first, heads).select("source", "line_number", "owner", "level")

@@ -46,7 +46,7 @@ def test_sql_only_for_queries():
 
 
 def test_export_has_every_event(spark, duck):
-    rows = entry.queries()["export_formatted_all"](spark, str(DATA)).collect()
+    rows = entry.queries()["export_formatted"](spark, str(DATA)).collect()
     events, without = duck.execute("SELECT count(*), count(*) FILTER (ts IS NULL) FROM (SELECT DISTINCT ON (source, line_number) * FROM log_events)").fetchone()
     assert len(rows) == events and sum(r.value.startswith("[") for r in rows) >= without > 0
 

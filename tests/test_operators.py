@@ -123,6 +123,9 @@ def test_new_patterns(spark):
     rows = [(1, "a 1", 4), (2, "b", 4), (3, "c", 2), (4, "a 2", 4), (5, "d", 4), (6, "low", 1), (7, "d", 4), (8, "e 5", 3), (9, "x", None)]
     df = spark.createDataFrame([("s", *r) for r in rows], "source string, line_number long, message string, severity int")
     assert sorted(values(volume.new_patterns(df, 3), "line_number")) == [(5,), (8,)]
+    rows = [(1, "quiet", None), (2, "quiet", None), (2, "quiet", None), (3, "x", 4), (4, "y", 4)]  # lines without severity warm up too, copies once
+    df = spark.createDataFrame([("s", *r) for r in rows], "source string, line_number long, message string, severity int")
+    assert values(volume.new_patterns(df, 2), "line_number") == [(3,), (4,)]
 
 
 # ---- exceptions and entries -------------------------------------------------------------------------------------
