@@ -161,13 +161,13 @@ def report_html(r: Report) -> str:
     e = html.escape
     meta = (("File", f"<code>{e(r.source)}</code>"), ("Generated", _time(r.generated)), ("Lines in file", r.total_lines), ("Bookmarks", r.bookmark_count), ("Notes", r.note_count))
     out = [
-        "<!DOCTYPE html>", f'<html><head><meta charset="utf-8"><title>{e(r.title)}</title>', "<style>pre{background:#f6f8fa;overflow-x:auto}.m{background:#fff8c5}.n{color:#6e7781}</style>",
+        "<!DOCTYPE html>", f'<html><head><meta charset="utf-8"><title>{e(r.title)}</title>', "<style>pre{background:#f6f8fa;overflow-x:auto}.chosen{background:#fdf3c4}.no{color:#777;margin-right:1ch}</style>",
         "</head><body>", f"<h1>Incident report — {e(r.title)}</h1>", "<dl>", *[f"<dt>{k}</dt><dd>{v}</dd>" for k, v in meta], "</dl>", "<h2>Marked lines</h2>",
     ]
     for x in r.excerpts:
         out.append(f"<h3>{_range(x)}</h3>")
-        out += [f"<div class=\"note\"><strong>Line {y['number']}:</strong> {e(y['note'])}</div>" for y in x if y["note"]]
-        body = "".join(f'<span class="{"l m" if y["marked"] else "l"}"><span class="n">{y["number"]}</span> {e(y["text"])}</span>\n' for y in x)
+        out += [f"<div class=\"remark\"><strong>Line {y['number']}:</strong> {e(y['note'])}</div>" for y in x if y["note"]]
+        body = "".join(f'<span class="{"row chosen" if y["marked"] else "row"}"><span class="no">{y["number"]}</span> {e(y["text"])}</span>\n' for y in x)
         out.append(f"<pre><code>{body}</code></pre>")
     out += [] if r.excerpts else ["<p>No marked lines.</p>"]
     out.append("<h2>Exceptions</h2>")

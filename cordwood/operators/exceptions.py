@@ -1,4 +1,10 @@
-"""Multi-line entries and exception groups: two state machines over the lines of a source, run over parts of it."""
+"""Multi-line entries and exception groups.
+
+Every line is first put into one of a few classes by expressions inside the JVM (frame, Python frame, continuation,
+traceback, exception header, indented, blank ...), so that what is left is a word over a small alphabet. Two transition
+tables, one for exceptions and one for entries, say how such words are read; they run over parts of a source that begin
+at lines from which on nothing above matters.
+"""
 
 from __future__ import annotations
 
@@ -22,11 +28,24 @@ TRACEBACK = re.compile(r"^Traceback \(most recent call last\):")
 _PLACE = re.compile(r"\s+in\s+.+?:line\s+\d+$|:line\s+\d+$|\(([^():]+?)(?::\d+)+\)$")
 _VARIABLE = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}|\b0x[0-9a-fA-F]+\b|\d+")
 
+# The classes of lines, tried in this order; a small letter is a line of the class that also holds an exception header.
+STRUCTURED, BLANK, FRAMED, PY_FRAMED, MORE_INDENTED, MORE_PLAIN, TRACE, HEAD, INDENTED, OTHER = "XBFPCDTHIO"
+_SAFE = (STRUCTURED, TRACE, OTHER, OTHER.lower())  # lines that end whatever came before
+_INDENTED = "FfPpCcIi"
+_JAVA_HEADER = r"[A-Za-z_][\w$]*(?:Exception|Error|Fault)"
+
 
-def _safe(text: Column) -> Column:
-    """Lines that end whatever came before: not blank-led, no frame, no continuation, no exception header at the start."""
-    head = r"^(?:[A-Za-z_][\w$]*\.)*[A-Za-z_][\w$]*(?:Exception|Error|Fault)"
-    return F.coalesce((text != "") & ~text.rlike(r"^\s") & ~text.rlike(MORE.pattern) & ~text.rlike(head), F.lit(False))
+def line_class(text: Column, structured: Column | None = None) -> Column:
+    """The letter of a line's class; null texts are blank, and structured texts, where there are any, come first."""
+    text = F.coalesce(text, F.lit(""))
+    like = lambda pattern: text.rlike("(?sU)" + pattern)
+    letter = lambda c: F.when(like(_JAVA_HEADER), c.lower()).otherwise(c)
+    found = F.when(~like(r"\S"), BLANK)
+    for pattern, c in ((FRAME.pattern, FRAMED), (PY_FRAME.pattern, PY_FRAMED), (r"^(?=\s)" + MORE.pattern[1:], MORE_INDENTED), (MORE.pattern, MORE_PLAIN)):
+        found = found.when(like(pattern), letter(c))
+    found = found.when(like(TRACEBACK.pattern), TRACE).when(like(r"^(?:[A-Za-z_][\w$]*\.)*" + _JAVA_HEADER), HEAD)
+    found = found.when(like(r"^\s"), letter(INDENTED)).otherwise(letter(OTHER))
+    return found if structured is None else F.when(structured.isNotNull(), STRUCTURED).otherwise(found)
 
 
 def normalize_frame_text(frame: str) -> str:
@@ -40,81 +59,64 @@ def signature_of(kind: str, message: str, frames: list[str]) -> str:
     return "|".join([kind, *shapes]) if shapes else f"{kind}|{_VARIABLE.sub('#', message)}"
 
 
-class _Block:
-    def __init__(self, line: int, at, text: str, header: re.Match | None):
-        self.line, self.at, self.python = line, at, header is None
-        self.type, self.message = (header[1], header[2] or "") if header else (None, "")
-        self.frames: list[str] = []
-        self.sample = [text]
-
-    def add(self, text: str) -> None:
-        if len(self.sample) < K.EXCEPTION_SAMPLE_LINES:
-            self.sample.append(text)
-
-    def record(self) -> tuple | None:
-        if not self.type or not self.frames:
-            return None
-        return (self.line, self.at, self.type, self.message.strip(), signature_of(self.type, self.message, self.frames), self.frames[0], "\n".join(self.sample).rstrip())
-
-
-def scan(lines) -> list[tuple]:
-    """(line, time, type, message, signature, top frame, sample) of every exception in (line, time, text, structured
-    exception text or None) rows in order."""
-    out: list[tuple] = []
-    block: _Block | None = None
-
-    def close() -> None:
-        nonlocal block
-        if block and (r := block.record()):
-            out.append(r)
-        block = None
-
-    for number, at, text, structured in lines:
-        text = text or ""
-        if structured:
-            close()
-            rows = structured.replace("\r\n", "\n").split("\n")
-            m = HEADER.search(rows[0])
-            kind, message = (m[1], m[2] or "") if m else (rows[0].strip(), "")
-            frames = [f[1].strip() for f in map(FRAME.match, rows[1:]) if f]
-            out.append((number, at, kind, message.strip(), signature_of(kind, message, frames), frames[0] if frames else None, structured))
+# ---- exceptions -------------------------------------------------------------------------------------------------
+
+# The words of an exception: a header with frames and continuations, or a traceback with indented lines and the header
+# that ends it. (state, classes of lines) -> (next state, what the line is); any other line ends the exception and is
+# looked at as the first of another one.
+_READ = {
+    ("", "Hfpcdio"): ("headed", "header"), ("", TRACE): ("traced", "trace"), ("", STRUCTURED): ("", "whole"),
+    ("headed", "Ff"): ("headed", "frame"), ("headed", "CcDd"): ("headed", "more"),
+    ("traced", "Ff"): ("traced", "frame"), ("traced", "Pp"): ("traced", "pyframe"), ("traced", "CcIi"): ("traced", "more"), ("traced", HEAD): ("", "named"),
+}
+_STEP = {(state, c): to for (state, classes), to in _READ.items() for c in classes}
+
+
+def stretches(classes: str) -> list[tuple[int, list[str]]]:
+    """(place of the first line, what each line is) of every exception in a word of line classes."""
+    out: list[tuple[int, list[str]]] = []
+    state = ""
+    for i, c in enumerate(classes):
+        step = _STEP.get((state, c)) or _STEP.get(("", c))
+        if step is None:
+            state = ""
             continue
-        if block:
-            if m := FRAME.match(text):
-                block.frames.append(m[1].strip())
-                block.add(text)
-                continue
-            if block.python:
-                if m := PY_FRAME.match(text):
-                    block.frames.append(f"{m[1]} in {m[2]}" if m[2] else m[1])
-                    block.add(text)
-                    continue
-                if text[:1].isspace():
-                    block.add(text)
-                    continue
-                if m := HEADER.match(text):
-                    block.type, block.message = m[1], m[2] or ""
-                    block.add(text)
-                    block.frames.reverse()
-                    close()
-                    continue
-            elif MORE.match(text):
-                block.add(text)
-                continue
-        close()
-        if TRACEBACK.match(text):
-            block = _Block(number, at, text, None)
-        elif m := HEADER.search(text):
-            block = _Block(number, at, text, m)
-    close()
+        if not state or (state, c) not in _STEP:
+            out.append((i, []))
+        out[-1][1].append(step[1])
+        state = step[0]
     return out
 
 
+def _told(rows: list[tuple], first: int, kinds: list[str]) -> tuple | None:
+    """The exception of a stretch of (line, time, text, structured) rows; None for a header without frames."""
+    number, at, _, structured = rows[first]
+    texts = structured.replace("\r\n", "\n").split("\n") if kinds == ["whole"] else [r[2] or "" for r in rows[first : first + len(kinds)]]
+    if kinds == ["whole"]:
+        kinds = ["header", *("frame" if FRAME.match(t) else "more" for t in texts[1:])]
+    frames = [FRAME.match(t)[1].strip() for t, k in zip(texts, kinds) if k == "frame"]
+    if kinds[0] == "trace":
+        found = [m for t, k in zip(texts, kinds) if k in ("frame", "pyframe") and (m := FRAME.match(t) or PY_FRAME.match(t))]
+        frames = [" in ".join(x for x in m.groups() if x).strip() for m in found][::-1]
+    named = HEADER.search(texts[0] if kinds[0] == "header" else texts[-1]) if kinds[0] == "header" or kinds[-1] == "named" else None
+    if structured is None and (named is None or not frames):
+        return None
+    kind, message = (named[1], (named[2] or "").strip()) if named else (texts[0].strip(), "")
+    sample = structured if structured is not None else "\n".join(texts[: K.EXCEPTION_SAMPLE_LINES]).rstrip()
+    return (number, at, kind, message, signature_of(kind, message, frames), frames[0] if frames else None, sample)
+
+
+def read(rows: list[tuple], classes: str) -> list[tuple]:
+    """(line, time, type, message, signature, top frame, sample) of every exception in rows in order."""
+    return [told for first, kinds in stretches(classes) if (told := _told(rows, first, kinds))]
+
+
 def occurrences(lines: DataFrame, events: DataFrame | None = None) -> DataFrame:
     """source, line_number, ts, type, message, signature, top_frame, sample of every exception.
 
-    lines: source, line_number, text. With events, structured exception texts take the place of the text's own and
-    their times come first. Headers without frames are no exceptions; null texts are blank.
+    lines: source, line_number, text; copies of a line count once. With events, structured exception texts take the
+    place of the text's own and their times come first. Headers without frames are no exceptions; null texts are
+    blank. Lines of other classes only end what stands above them, so their texts stay behind.
     """
     rows = lines.select("source", "line_number", "text")
     if events is not None:
@@ -122,14 +124,16 @@ def occurrences(lines: DataFrame, events: DataFrame | None = None) -> DataFrame:
         rows = rows.join(mine, ["source", "line_number"], "left").withColumn("ts", F.coalesce("_ts", text_time(F.col("text"))))
     else:
         rows = rows.withColumns({"ts": text_time(F.col("text")), "_x": F.lit(None).cast("string")})
-    safe = _safe(F.col("text")) | F.col("_x").isNotNull()
-    parts = safe_groups(rows.select("source", "line_number", "ts", "text", "_x"), "source", "line_number", safe)
+    rows = rows.withColumn("_class", line_class(F.col("text"), F.col("_x")))
+    # a blank line of white space goes on with a traceback as an indented one does
+    rows = rows.withColumn("_class", F.when((F.col("_class") == BLANK) & (F.col("text") != ""), INDENTED).otherwise(F.col("_class")))
+    rows = rows.withColumn("text", F.when(~F.col("_class").isin(OTHER, BLANK, STRUCTURED), F.col("text")))
+    parts = safe_groups(rows.select("source", "line_number", "ts", "text", "_x", "_class"), "source", "line_number", F.col("_class").isin(*_SAFE))
 
     def per_part(key, pdf):
-        pdf = pdf.sort_values("line_number")
-        at = pdf["ts"].astype(object).where(pdf["ts"].notna(), None)
-        x = pdf["_x"].astype(object).where(pdf["_x"].notna(), None)
-        found = scan(zip(pdf["line_number"], at, pdf["text"], x))
+        pdf = pdf.sort_values("line_number").drop_duplicates("line_number")
+        none = lambda c: pdf[c].astype(object).where(pdf[c].notna(), None)
+        found = read(list(zip(pdf["line_number"], none("ts"), none("text"), none("_x"))), "".join(pdf["_class"]))
         out = pd.DataFrame(found, columns=["line_number", "ts", "type", "message", "signature", "top_frame", "sample"])
         out.insert(0, "source", key[0])
         return out
@@ -165,54 +169,46 @@ def group_lines(found: DataFrame, n: int = K.EXCEPTION_LINES) -> DataFrame:
 # ---- entries ----------------------------------------------------------------------------------------------------
 
 
+# The words of an entry: a head, then frames and what goes on with them. A bare exception header right below a head is a
+# head too until a frame or a traceback shows that it belongs to the entry above (lift). A blank line ends the entry.
+_GOES_ON = {
+    **{(state, c): ("trace", "lift" if state == "bare" else "join") for state in ("head", "bare", "trace") for c in "Ff"},
+    **{(state, TRACE): ("python", "lift" if state == "bare" else "join") for state in ("head", "bare", "trace")},
+    **{("trace", c): ("trace", "join") for c in "PpCcDdIi"},
+    **{("python", c): ("python", "join") for c in _INDENTED},
+    ("python", HEAD): ("head", "join"),
+}
+
+
 def heads(rows) -> list[int | None]:
-    """For each (line, text, starts) of a source in order the line of the entry that it continues, None for heads and
-    blank lines. starts: the line is known to begin an entry. A bare exception header that a frame follows is part of
-    the entry above it."""
+    """For each (line, class, starts) of a source in order the line of the entry that it continues, None for heads and
+    blank lines. starts: the line is known to begin an entry."""
     out: list[int | None] = []
-    head = above = None
-    bare = trace = python = False
-    for number, text, starts in rows:
-        text = text or ""
-        if not text.strip():
-            head = above = None
-            bare = trace = python = False
-            out.append(None)
-            continue
-        goes_on = opens = False
-        if head is not None and not starts:
-            if python:
-                goes_on = bool(PY_FRAME.match(text)) or text[0].isspace()
-                if not goes_on and HEADER.match(text):
-                    goes_on, python, trace = True, False, False
-            elif FRAME.match(text):
-                goes_on, opens, trace = True, not trace, True
-            elif TRACEBACK.match(text):
-                goes_on, opens, python = True, not trace, True
-            elif trace and (MORE.match(text) or text[0].isspace()):
-                goes_on = True
-        if goes_on:
-            if opens and bare and above is not None:
-                out[len(out) - 1] = above
-                head = above
-            bare, above = False, None
-            out.append(head)
-            continue
-        above, head = head, number
-        bare = above is not None and bool(HEADER.match(text))
-        trace, python = False, bool(TRACEBACK.match(text))
-        out.append(None)
+    state, mine, above = "", None, None
+    for number, c, starts in rows:
+        step = None if starts else _GOES_ON.get((state, c))
+        if c == BLANK:
+            state, mine = "", None
+        elif step is None:
+            state, above, mine = "python" if c == TRACE else "bare" if c == HEAD and state else "head", mine, number
+        else:
+            state = step[0]
+            if step[1] == "lift":
+                out[-1] = mine = above
+        out.append(mine if step and c != BLANK else None)
     return out
 
 
 def group_entries(lines: DataFrame, starts: Column | None = None) -> DataFrame:
-    """lines with head_line: the line whose entry a line continues, null for heads and blank lines."""
-    rows = lines.withColumn("_starts", F.lit(False) if starts is None else F.coalesce(starts, F.lit(False)))
-    parts = safe_groups(rows.select("source", "line_number", "text", "_starts"), "source", "line_number", _safe(F.col("text")) & ~F.col("text").rlike(TRACEBACK.pattern))
+    """source, line_number, head_line: the line whose entry a line continues, null for heads and blank lines. Copies of
+    a line count once; texts are read where they lie, and only the classes of lines move."""
+    known = F.lit(False) if starts is None else F.coalesce(starts, F.lit(False))
+    rows = lines.select("source", "line_number", line_class(F.col("text")).alias("_class"), known.alias("_starts"))
+    parts = safe_groups(rows, "source", "line_number", F.col("_class").isin(OTHER, OTHER.lower()))
 
     def per_part(key, pdf):
-        pdf = pdf.sort_values("line_number")
-        found = heads(zip(pdf["line_number"], pdf["text"], pdf["_starts"]))
-        return pd.DataFrame({"source": key[0], "line_number": pdf["line_number"].values, "text": pdf["text"].values, "head_line": pd.array(found, dtype="Int64")})
+        pdf = pdf.sort_values("line_number").drop_duplicates("line_number")
+        found = heads(zip(pdf["line_number"], pdf["_class"], pdf["_starts"]))
+        return pd.DataFrame({"source": key[0], "line_number": pdf["line_number"].values, "head_line": pd.array(found, dtype="Int64")})
 
-    return parts.groupBy("source", "_g").applyInPandas(per_part, "source string, line_number long, text string, head_line long")
+    return parts.groupBy("source", "_g").applyInPandas(per_part, "source string, line_number long, head_line long")

@@ -6,13 +6,14 @@ import re
 from collections import deque
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cordwood.functions.fields import resolve
-from cordwood.functions.ordered import running, safe_groups
 from cordwood.operators.search import line_matcher, valid_pattern
+from cordwood.session import cut
 
 
 @dataclass(frozen=True)
@@ -95,29 +96,76 @@ class HitWindow:
         return True
 
 
+def _firing(times: np.ndarray, before: np.ndarray, threshold: int, window_us: int) -> np.ndarray:
+    """Places in times whose threshold-th hit backwards, themselves counted, lies within the window; before are the
+    hits ahead of them."""
+    both = np.concatenate([before, times])
+    at = np.arange(len(before), len(both))
+    far = at - (threshold - 1)
+    return np.flatnonzero((far >= 0) & (both[at] - both[np.maximum(far, 0)] <= window_us))
+
+
+def _alerts(firing: np.ndarray, n: int, open_hits: int, threshold: int) -> tuple[list[int], int]:
+    """(places of the alerts, hits open at the end) of a chunk of n hits that open_hits since the last alert precede. An
+    alert takes all hits up to it, so the next one is the first firing place threshold hits further on."""
+    out, at = [], threshold - 1 - open_hits
+    while (k := np.searchsorted(firing, at)) < len(firing):
+        out.append(int(firing[k]))
+        at = out[-1] + threshold
+    return out, min(n - 1 - out[-1] if out else open_hits + n, threshold - 1)
+
+
 def threshold_alerts(hits: DataFrame, rules: list[Rule]) -> DataFrame:
     """rule_id, at_us, line_number of every alert. hits: rule_id, ts, line_number, taken in order of time, then line;
     hits without time are left out.
 
-    A hit that lies more than the rule's window behind the one before needs nothing of what came before, so a rule's
-    hits are worked on in parts that begin at such hits.
+    All that a stretch of hits hands on is how many of its last hits are open, fewer than the threshold. Hits are cut
+    into ranges of rule and time; each range says, for every number of open hits it may begin with, how many it ends
+    with; these answers are chained over one row per range; and then every range is read with what it begins with. A
+    rule that keeps firing is spread like any other.
     """
     limits = {r.id: (r.threshold, r.window_us) for r in rules if r.threshold > 0}
     if not limits:
         return hits.sparkSession.createDataFrame([], "rule_id string, at_us long, line_number long")
-    window = F.create_map(*[F.lit(x) for k, (_, w) in limits.items() for x in (k, w)])
     rows = hits.where(F.col("ts").isNotNull() & F.col("rule_id").isin(list(limits))).select("rule_id", F.unix_micros("ts").alias("at_us"), "line_number")
-    chunk = max(1_000_000, 1000 * max(w for _, w in limits.values()))
-    rows = running(rows, ["rule_id"], "at_us", previous={"_p": F.col("at_us")}, size=chunk)
-    parts = safe_groups(rows, "rule_id", "at_us", F.col("_p").isNull() | (F.col("at_us") - F.col("_p") > window[F.col("rule_id")]), size=chunk)
-
-    def per_part(key, pdf):
+    # kept, since all looks at the ranges have to see the same ones
+    placed = cut(rows.repartitionByRange("rule_id", "at_us", "line_number").withColumn("part", F.spark_partition_id()))
+
+    def sums(key, pdf):
+        most = limits[key[0]][0] - 1
+        return pd.DataFrame({"rule_id": [key[0]], "part": [key[1]], "tail": [sorted(pdf["at_us"])[-most:] if most else []]})
+
+    def carried(key, pdf):
+        most, seen, out = limits[key[0]][0] - 1, [], []
+        for r in pdf.sort_values("part").itertuples():
+            out.append((key[0], r.part, list(seen)))
+            seen = (seen + [int(x) for x in r.tail])[-most:] if most else []
+        return pd.DataFrame(out, columns=["rule_id", "part", "before"])
+
+    def ends(key, pdf, given):
+        threshold, window = limits[key[0]]
+        firing = _firing(np.sort(pdf["at_us"].to_numpy()), np.array(given["before"].iat[0], dtype="int64"), threshold, window)
+        return pd.DataFrame({"rule_id": [key[0]], "part": [key[1]], "ends": [[_alerts(firing, len(pdf), s, threshold)[1] for s in range(threshold)]]})
+
+    def chained(key, pdf):
+        state, out = 0, []
+        for r in pdf.sort_values("part").itertuples():
+            out.append((key[0], r.part, state))
+            state = int(r.ends[state])
+        return pd.DataFrame(out, columns=["rule_id", "part", "begins"])
+
+    def fired(key, pdf, given):
+        threshold, window = limits[key[0]]
         pdf = pdf.sort_values(["at_us", "line_number"])
-        counter = HitWindow(*limits[key[0]])
-        fired = [counter.record(int(t)) for t in pdf["at_us"]]
-        return pdf[fired][["rule_id", "at_us", "line_number"]]
-
-    return parts.groupBy("rule_id", "_g").applyInPandas(per_part, "rule_id string, at_us long, line_number long")
+        firing = _firing(pdf["at_us"].to_numpy(), np.array(given["before"].iat[0], dtype="int64"), threshold, window)
+        return pdf.iloc[_alerts(firing, len(pdf), int(given["begins"].iat[0]), threshold)[0]][["rule_id", "at_us", "line_number"]]
+
+    chunk = ["rule_id", "part"]
+    before = placed.groupBy(*chunk).applyInPandas(sums, "rule_id string, part int, tail array<long>").groupBy("rule_id").applyInPandas(carried, "rule_id string, part int, before array<long>")
+    before = cut(before)
+    answers = placed.groupBy(*chunk).cogroup(before.groupBy(*chunk)).applyInPandas(ends, "rule_id string, part int, ends array<int>")
+    begins = answers.groupBy("rule_id").applyInPandas(chained, "rule_id string, part int, begins int")
+    return placed.groupBy(*chunk).cogroup(before.join(begins, chunk).groupBy(*chunk)).applyInPandas(fired, "rule_id string, at_us long, line_number long")
 
 
 def alert_history(alerts: DataFrame, n: int = 200) -> DataFrame:

@@ -159,8 +159,9 @@ def test_state_machines_do_not_depend_on_parts(spark, monkeypatch):
 
     whole = (set(map(tuple, exceptions.occurrences(ls).select("line_number", "signature").collect())), set(map(tuple, exceptions.group_entries(ls).select("line_number", "head_line").collect())))
     rows = [(i + 1, None, t, None) for i, t in enumerate(texts)]
-    assert whole[0] == {(r[0], r[4]) for r in exceptions.scan(rows)}
-    assert whole[1] == set(zip(range(1, 401), exceptions.heads([(i + 1, t, False) for i, t in enumerate(texts)])))
+    held = [(i + 1, t, r.c) for i, (t, r) in enumerate(zip(texts, ls.orderBy("line_number").select(exceptions.line_class(F.col("text")).alias("c")).collect()))]
+    assert whole[0] == {(r[0], r[4]) for r in exceptions.read(rows, "".join(c for _, _, c in held))}
+    assert whole[1] == set(zip(range(1, 401), exceptions.heads([(n, c, False) for n, _, c in held])))
     monkeypatch.setattr(exceptions, "safe_groups", lambda df, key, order, safe: ordered.safe_groups(df, key, order, safe, size=7))
     assert (set(map(tuple, exceptions.occurrences(ls).select("line_number", "signature").collect())), set(map(tuple, exceptions.group_entries(ls).select("line_number", "head_line").collect()))) == whole
 
@@ -269,6 +270,12 @@ def test_alerts(spark):
             expected.append(i)
     assert sorted(r.line_number for r in highlight.threshold_alerts(hits(times), [rule]).collect()) == expected
     assert highlight.threshold_alerts(hits([1]), []).count() == 0
+    for threshold, times in ((1, [0, 5]), (4, list(range(300))), (5, sorted(random.choice(range(400)) for _ in range(300)))):  # a rule that never rests
+        counter = highlight.HitWindow(threshold, 20_000_000)
+        expected = [i for i, s in enumerate(times) if counter.record(s * 1_000_000)]
+        given = hits(times).union(hits(times).limit(0)).repartition(3)
+        rule = highlight.Rule("r", "x", threshold=threshold, window_us=20_000_000)
+        assert sorted(r.line_number for r in highlight.threshold_alerts(given, [rule]).collect()) == expected
 
 
 def test_grid(spark):
