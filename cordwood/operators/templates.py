@@ -19,12 +19,14 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cordwood.constants import LEVEL_SPELLINGS
+from cordwood.formats.parsers import NDJSON_KEYS
 from cordwood.functions.levels import normalize_level_text
+from cordwood.session import cut
 
 HEAD_TOKENS = 12
 LEVEL_WITHIN = 8  # tokens outside brackets, from the first on, among which the level of a layout stands
@@ -33,12 +35,13 @@ _SPELLINGS = {s for names in LEVEL_SPELLINGS.values() for s in names} | {"CRT",
 _MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 _LETTER = {"V": "Verbose", "T": "Verbose", "D": "Debug", "I": "Information", "W": "Warning", "E": "Error", "F": "Fatal", "C": "Fatal"}
 
-# Member names that hold time, level, component, message and exception of an event.
-TIME_KEYS = ("@t", "Timestamp", "timestamp", "ts", "time", "@timestamp", "date", "eventTime", "asctime", "datetime", "t", "when")
-LEVEL_KEYS = ("@l", "Level", "level", "lvl", "severity", "loglevel", "LogLevel", "levelname", "SeverityText")
-PART_KEYS = ("SourceContext", "logger", "component", "name", "module", "Application", "application", "app", "tag", "logger_name", "appname", "module", "category", "unit")
-TEXT_KEYS = ("@m", "RenderedMessage", "message", "msg", "Message", "text", "body", "log", "@message")
-EXC_KEYS = ("@x", "Exception", "exception", "error", "err", "stack", "stack_trace", "stackTrace", "StackTrace")
+# Member names that hold time, level, message and exception of an event, beyond those of the formats; in lower case.
+TIME_KEYS = ("@t", *NDJSON_KEYS["ts"], "datetime", "t", "when")
+LEVEL_KEYS = ("@l", *NDJSON_KEYS["level"])
+TEXT_KEYS = ("@m", "renderedmessage", *(k for k in NDJSON_KEYS["message"] if k != "messagetemplate"))
+EXC_KEYS = ("@x", *NDJSON_KEYS["exception"])
+# Member names that hold the component of an event, in lower case.
+PART_KEYS = ("sourcecontext", "logger", "component", "name", "module", "application", "app", "tag", "logger_name", "appname", "category", "unit")
 
 _TOKENS = {
     "STAMP": r"\d{4}[-/]\d{2}[-/]\d{2}[T ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?\s?(?:Z|[+-]\d{2}:?\d{2})?(?![\w:])",
@@ -67,7 +70,7 @@ def head_classes(text: str | None) -> tuple[str, ...]:
         event = read_object(text)
         if event is None:
             return ("{",)
-        return ("OBJECT", *(c for c, keys in (("TIME", TIME_KEYS), ("LEVEL", LEVEL_KEYS)) if any(k in event for k in keys)))
+        return ("OBJECT", *_held(event))
     out: list[str] = []
     at, most = 0, HEAD_TOKENS
     while at < len(text):
@@ -86,8 +89,7 @@ def head_classes(text: str | None) -> tuple[str, ...]:
         if kind == "PAIR" and out and out[0] != "PAIR":
             kind = "W"
         if kind == "PAIR" and len(out) == 0:
-            keys = {k for k, _, _ in _PAIR.findall(text)}
-            return ("PAIR", *(c for c, names in (("TIME", TIME_KEYS), ("LEVEL", LEVEL_KEYS)) if keys & set(names)))
+            return ("PAIR", *_held(k for k, _, _ in _PAIR.findall(text)))
         out.append(kind)
         at = m.end()
     if len(out) > HEAD_TOKENS and layout_of(tuple(out)) is None:
@@ -95,6 +97,12 @@ def head_classes(text: str | None) -> tuple[str, ...]:
     return tuple(out)
 
 
+def _held(names) -> Iterator[str]:
+    """Which of time and level stand among names of members."""
+    names = {k.lower() for k in names}
+    return (c for c, keys in (("TIME", TIME_KEYS), ("LEVEL", LEVEL_KEYS)) if not names.isdisjoint(keys))
+
+
 @functools.lru_cache(10_000)
 def _goes_on(head: tuple[str, ...]) -> bool:
     """Whether an entry may begin with head whose message begins behind it, or in its last two tokens, where the mark
@@ -364,7 +372,10 @@ def _text(v) -> str:
 
 
 def _first(event: dict, keys: tuple[str, ...]):
-    return next((event[k] for k in keys if event.get(k) is not None), None)
+    lower: dict = {}
+    for k, v in event.items():
+        lower.setdefault(k.lower(), v)
+    return next((lower[k] for k in keys if lower.get(k) is not None), None)
 
 
 def _fill(template: str, properties: dict) -> str:
@@ -461,9 +472,10 @@ def layouts(lines: DataFrame, most: int = 1_000_000) -> dict[str, str]:
     return {r.head: r.layout for r in rows}
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """source, line_number, blank, is_head, utc_us, level, component, msg_chars, message, member (exception type of
-    the head's exception member), frame, trace (a Python traceback begins), raised (type named by the line)."""
+def parse_lines(lines: DataFrame, message: bool = True) -> DataFrame:
+    """source, line_number, blank, is_head, utc_us, level, component, msg_chars, message (null without message), member
+    (exception type of the head's exception member), frame, trace (a Python traceback begins), raised (type named by
+    the line)."""
     known = lines.sparkSession.sparkContext.broadcast(layouts(lines))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -475,9 +487,9 @@ def parse_lines(lines: DataFrame) -> DataFrame:
                 layout = mine.get("\x1f".join(head_classes(text)))
                 got = read_head(text, layout, None if pd.isna(at) else at.to_pydatetime()) if layout else None
                 if got and got[0] is not None:
-                    when, level, part, message, exc = got
+                    when, level, part, said, exc = got
                     m = _EXCEPTION.match(exc.lstrip().split("\n", 1)[0]) if exc else None
-                    rows.append((source, number, False, True, when, level, part, len(message), message, m[1] if m else None, False, False, None))
+                    rows.append((source, number, False, True, when, level, part, len(said), said if message else None, m[1] if m else None, False, False, None))
                 else:
                     m = _EXCEPTION.match(text)
                     rows.append((source, number, not text.strip(), False, None, None, None, None, None, None, bool(_FRAME.match(text)), text.startswith("Traceback (most recent call last)"), m[1] if m else None))
@@ -493,7 +505,7 @@ _SCHEMA = (
 _NAMES = [x.split()[0] for x in _SCHEMA.split(", ")]
 
 
-def entries(lines: DataFrame) -> DataFrame:
+def entries(lines: DataFrame, message: bool = True) -> DataFrame:
     """source, line_number, n_lines, utc_us, level, component, msg_chars, exc_type, message: one row per entry.
 
     An entry begins at a line in some layout and holds all lines up to the next such line of its source; n_lines
@@ -502,12 +514,13 @@ def entries(lines: DataFrame) -> DataFrame:
     else that of the entry's first stack trace: the type named last above the first frame, or below a Python
     traceback; '' without any. Sources are worked on in chunks of CHUNK_LINES lines, and what a chunk hands on to the
     next (last head, last type named, last traceback) is carried over chunk summaries, so a large source is spread
-    over many tasks.
+    over many tasks. The lines as read are exchanged once and kept, since both the summaries and the rows need them.
     """
-    rows = parse_lines(lines).where("source is not null and line_number is not null")
-    rows = rows.withColumn("chunk", F.floor(F.col("line_number") / CHUNK_LINES))
-    rows = rows.groupBy("source", "chunk", "line_number").agg(*[F.first(c).alias(c) for c in _NAMES[2:]])
+    rows = parse_lines(lines, message).where("source is not null and line_number is not null")
+    rows = rows.withColumn("chunk", F.floor(F.col("line_number") / CHUNK_LINES)).repartition("source", "chunk")
     order = W.partitionBy("source", "chunk").orderBy("line_number")
+    again = F.lag("line_number").over(order).eqNullSafe(F.col("line_number"))
+    rows = rows.withColumn("_again", again).where("not _again").drop("_again")
     upto, before = order.rowsBetween(W.unboundedPreceding, 0), order.rowsBetween(W.unboundedPreceding, -1)
     head = F.when(F.col("is_head"), F.col("line_number"))
     named = F.when(F.col("raised").isNotNull(), F.struct("line_number", "raised"))
@@ -515,6 +528,7 @@ def entries(lines: DataFrame) -> DataFrame:
     rows = rows.withColumns({
         "_head": F.last(head, True).over(upto), "_named": F.last(named, True).over(before), "_trace": F.last(trace, True).over(before),
     })
+    rows = cut(rows)
     sums = rows.groupBy("source", "chunk").agg(F.max(head).alias("_h"), F.max(named).alias("_n"), F.max(trace).alias("_t"))
     past = W.partitionBy("source").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("source", "chunk", F.max("_h").over(past).alias("_h"), F.max("_n").over(past).alias("_n"), F.max("_t").over(past).alias("_t"))
@@ -525,16 +539,78 @@ def entries(lines: DataFrame) -> DataFrame:
     framed = F.when(F.col("frame") & inside, F.struct(F.col("line_number").alias("at"), F.col("_named.raised").alias("type")))
     closing = F.col("raised").isNotNull() & (F.col("_trace") > F.col("_head")) & (~F.coalesce(inside, F.lit(False)) | (F.col("_named.line_number") < F.col("_trace")))
     closed = F.when(closing, F.struct(F.col("_trace").alias("at"), F.col("raised").alias("type")))
+    fields = ("utc_us", "level", "component", "msg_chars", "message", "member")
     done = rows.groupBy("source", F.col("_head").alias("line_number")).agg(
         (F.max(F.when(~F.col("blank"), F.col("line_number")))).alias("_last"),
-        *[F.max(F.when(F.col("is_head"), F.col(c))).alias(c) for c in ("utc_us", "level", "component", "msg_chars", "message", "member")],
+        F.max(F.when(F.col("is_head"), F.struct(*fields))).alias("_f"),
         F.min(F.coalesce(framed, closed)).alias("_exc"),
     )
     return done.select(
-        "source", "line_number", (F.col("_last") - F.col("line_number") + 1).alias("n_lines"), "utc_us", "level", "component", "msg_chars",
-        F.coalesce("member", "_exc.type", F.lit("")).alias("exc_type"), "message",
+        "source", "line_number", (F.col("_last") - F.col("line_number") + 1).alias("n_lines"), *[F.col(f"_f.{c}").alias(c) for c in fields[:4]],
+        F.coalesce("_f.member", "_exc.type", F.lit("")).alias("exc_type"), "_f.message",
     )
 
 
 def found(lines: DataFrame) -> DataFrame:
-    return entries(lines).drop("message")
+    return entries(lines, False).drop("message")
+
+
+# ---- messages ---------------------------------------------------------------------------------------------------
+
+VALUES = 0.25  # share of a partition's lines from which on the distinct tokens of a position are values
+
+
+def message_templates(rows: DataFrame, message: str = "message") -> DataFrame:
+    """rows with template (tokens joined by blanks, * for a variable slot) and slots (the tokens at its variable
+    slots, in order).
+
+    Iterative partitioning over all messages, each step one aggregation that is combined before the shuffle and sends
+    back one row per partition: by token count; by the token at the position with the fewest distinct ones; by the
+    mapping between the two positions that most often have the same number of distinct tokens - pairs that map one to
+    one split by both, else the side with fewer tokens splits. Positions whose distinct tokens number more than VALUES
+    of a partition's lines hold values and split nothing. Null and blank messages have no tokens and an empty
+    template. Partitions are known by hashes of what they were split by.
+    """
+    rows = rows.withColumns({"_tokens": F.filter(F.split(F.trim(F.coalesce(F.col(message), F.lit(""))), r"\s+"), lambda x: x != "")})
+    rows = rows.withColumn("_p", F.xxhash64(F.size("_tokens")))
+    token = lambda i: F.coalesce(F.get("_tokens", F.col(i)), F.lit(""))
+
+    def positions(rows: DataFrame) -> DataFrame:
+        """_p, _n (lines), _d (distinct tokens of each position)."""
+        each = rows.select("_p", F.posexplode("_tokens").alias("_i", "_t")).groupBy("_p", "_i").agg(F.approx_count_distinct("_t", 0.02).alias("_c"), F.count("*").alias("_m"))
+        return each.groupBy("_p").agg(F.max("_m").alias("_n"), F.transform(F.array_sort(F.collect_list(F.struct("_i", "_c"))), lambda x: x["_c"]).alias("_d"))
+
+    def splits(d: Column, n: Column) -> Column:
+        """(distinct tokens, position) of the positions that may split a partition."""
+        both = F.transform(d, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
+        return F.filter(both, lambda x: (x["c"] > 1) & (x["c"] <= F.greatest(n * VALUES, F.lit(1))))
+
+    by = positions(rows).select("_p", F.array_min(splits(F.col("_d"), F.col("_n")))["i"].alias("_at"))
+    rows = rows.join(by, "_p", "left").withColumn("_p", F.when(F.col("_at").isNotNull(), F.xxhash64("_p", token("_at"))).otherwise(F.col("_p"))).drop("_at")
+
+    able = splits(F.col("_d"), F.col("_n"))
+    often = lambda x: F.size(F.filter("_able", lambda y: y["c"] == x["c"]))
+    ranked = F.array_sort(F.transform("_able", lambda x: F.struct((-often(x)).alias("o"), x["c"].alias("c"), x["i"].alias("i"))))
+    pair = positions(rows).withColumn("_able", able).withColumn("_r", ranked).where(F.size("_r") >= 2)
+    pair = pair.select("_p", F.get("_r", F.lit(0))["i"].alias("_a"), F.get("_r", F.lit(1))["i"].alias("_b"), F.get("_r", F.lit(0))["c"].alias("_ca"), F.get("_r", F.lit(1))["c"].alias("_cb"))
+    rows = rows.join(pair, "_p", "left")
+    seen = rows.where("_a is not null").select("_p", token("_a").alias("_ta"), token("_b").alias("_tb")).distinct()
+    ones = seen.groupBy("_p", "_ta").agg(F.count("*").alias("_fa"), F.min("_tb").alias("_one")).where("_fa = 1")
+    twos = seen.groupBy("_p", "_tb").agg(F.count("*").alias("_fb")).where("_fb = 1")
+    single = ones.join(twos.select("_p", F.col("_tb").alias("_one")), ["_p", "_one"]).select("_p", "_ta", F.lit(True).alias("_single"))
+    rows = rows.withColumn("_ta", token("_a")).join(single, ["_p", "_ta"], "left")
+    split = F.when(F.col("_a").isNull(), F.col("_p")).when(F.col("_single"), F.xxhash64("_p", token("_a"), token("_b")))
+    rows = rows.withColumn("_p", split.when(F.col("_ca") <= F.col("_cb"), F.xxhash64("_p", token("_a"))).otherwise(F.xxhash64("_p", F.lit("b"), token("_b")))).drop("_a", "_b", "_ca", "_cb", "_ta", "_single")
+
+    each = rows.select("_p", F.posexplode("_tokens").alias("_i", "_t")).groupBy("_p", "_i").agg(F.min("_t").alias("_lo"), F.max("_t").alias("_hi"))
+    leaf = each.groupBy("_p").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).alias("t")))), lambda x: x["t"]).alias("_leaf"))
+    rows = rows.join(leaf, "_p", "left")
+    fixed = F.coalesce("_leaf", F.array().cast("array<string>"))
+    slots = F.transform(F.filter(F.transform("_tokens", lambda t, i: F.struct(t.alias("t"), F.get("_leaf", i).alias("f"))), lambda x: x["f"].isNull()), lambda x: x["t"])
+    return rows.withColumns({"template": F.array_join(F.transform(fixed, lambda t: F.coalesce(t, F.lit("*"))), " "), "slots": slots}).drop("_p", "_tokens", "_leaf")
+
+
+def messages(lines: DataFrame) -> DataFrame:
+    """source, line_number, template, slots of the message of every entry."""
+    kept = cut(entries(lines).select("source", "line_number", "message"))
+    return message_templates(kept).select("source", "line_number", "template", "slots")

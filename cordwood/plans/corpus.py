@@ -20,6 +20,11 @@ def p2_templates(spark: SparkSession, folder: str) -> DataFrame:
     return templates.leaf_templates(table(spark, folder, "tail_lines"))
 
 
+def p2_messages(spark: SparkSession, folder: str) -> DataFrame:
+    """source, line_number, template, slots of every entry's message."""
+    return templates.messages(table(spark, folder, "tail_lines"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return drift.changes(table(spark, folder, "drift_records"))
 
@@ -49,7 +54,7 @@ def p7_wide(spark: SparkSession, folder: str) -> DataFrame:
     return wide.widen(wide.cells(table(spark, folder, "prop_rows"), catalog), wide.header(catalog))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_templates, p4_found, p4_table, p5_found, p5_paths, p5_descendants, p7_found, p7_wide)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_templates, p2_messages, p4_found, p4_table, p5_found, p5_paths, p5_descendants, p7_found, p7_wide)}
 _NODES = """n AS (SELECT t, s, nullif(p, '') AS p FROM (
         SELECT lower(trim(trace_id)) AS t, lower(trim(span_id)) AS s, CASE WHEN regexp_full_match(trim(parent_span_id), '0*') THEN NULL ELSE lower(trim(parent_span_id)) END AS p, row_id
         FROM trace_spans WHERE start_ts IS NOT NULL) WHERE t <> '' AND s <> '' QUALIFY row_number() OVER (PARTITION BY t, s ORDER BY row_id) = 1),

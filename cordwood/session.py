@@ -37,23 +37,28 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, which survives the loss of executors."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+def scratch(spark: SparkSession) -> str:
+    """A new path below the shared folder, which goes when the application ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/cordwood-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
 
 
 def stored(df: DataFrame, partition_by: list[str] | None = None) -> str:
     """Writes df as Parquet below the shared folder; returns the path."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/cordwood-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     writer = df.write.mode("error")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return path
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a written table, which survives the loss of executors; it is computed once, where a
+    checkpoint would compute its last stage twice."""
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table name of folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

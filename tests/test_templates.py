@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from cordwood.operators import templates as T
 
@@ -99,3 +100,14 @@ def test_long_heads(spark):
     ]
     assert [(x[0], x[1], *x[3:6]) for x in found(spark, texts)] == [(1, 1, "Warning", "org.tarn.Intake", 10), (2, 3, "Error", "SearchNode", 8), (5, 1, "Information", "ledger.cc", 9)]
     assert len(T.head_classes(texts[2])) == T.HEAD_TOKENS and len(T.head_classes(texts[3])) == T.HEAD_TOKENS
+
+
+def test_messages_have_templates_and_slots(spark):
+    rows = [(f"job {i} {('started', 'stopped')[i % 2]} on node{i % 3}",) for i in range(40)] + [(f"cache {('hit', 'miss')[i % 2]}",) for i in range(20)] + [(None,), ("  ",), ("cache hit",)]
+    got = T.message_templates(spark.createDataFrame(rows, "message string").withColumn("template", F.lit("x"))).collect()
+    assert len(got) == len(rows) and {r.template for r in got if r.message is None or not r.message.strip()} == {""}
+    for r in got:  # every message is its template with its slots filled in
+        slots = iter(r.slots)
+        assert " ".join(next(slots) if t == "*" else t for t in r.template.split()) == " ".join((r.message or "").split())
+    assert {"cache hit", "cache miss"} <= {r.template for r in got} and any(r.template.startswith("job * started") for r in got)
+    assert T.message_templates(spark.createDataFrame([], "message string")).count() == 0
