@@ -35,6 +35,7 @@ def brute(rows):
 def check(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
     assert {tuple(r) for r in H.found(df).collect()} == brute(rows)
+    assert {tuple(r) for r in H.found(df, 2).collect()} == brute(rows)  # scopes of more than two rows by doubling joins
 
 
 def test_shapes(spark):
@@ -63,7 +64,9 @@ def test_paths_and_descendants(spark):
     nodes = H.links(df, F.col("n"), F.col("p"), F.col("s"), F.lit(0))
     rows = {r.node: (r.path, r.depth, r.n_desc) for r in H.resolve(nodes, with_path=True).collect()}
     assert rows == {"a": (["a"], 0, 3), "b": (["a", "b"], 1, 1), "c": (["a", "b", "c"], 2, 0), "d": (["a", "d"], 1, 0)}
-    assert {tuple(r) for r in H.descendants(nodes).collect()} == {("t", "a", "b", 1), ("t", "b", "c", 1), ("t", "a", "c", 2), ("t", "a", "d", 1)}
+    assert {r.node: (r.path, r.depth, r.n_desc) for r in H.resolve(nodes, with_path=True, most=1).collect()} == rows
+    for most in (None, 1):
+        assert {tuple(r) for r in H.descendants(nodes, most).collect()} == {("t", "a", "b", 1), ("t", "b", "c", 1), ("t", "a", "c", 2), ("t", "a", "d", 1)}
 
 
 def test_empty(spark):
