@@ -104,7 +104,7 @@ class Logs:
 
         anchors = scanned(self._doc(name))
         mine = blocks.block_containing(anchors, line_number)
-        anchor = anchors.join(F.broadcast(mine), "block_id", "left_semi").drop("block_id")
+        anchor = anchors.join(mine, "block_id", "left_semi").drop("block_id")
         return blocks.similar_blocks(anchor, scanned(self._doc(target or name)), search.clamp_rows(most))
 
     def exception_groups(self, name: str, most: int = 20) -> DataFrame:

@@ -1,11 +1,10 @@
 """Attribute-value rows into wide tables (problem 7).
 
 Rows are resolved to one cell per entity and attribute (combined before the shuffle, so neither a hot entity nor a hot
-attribute gathers in one task), written once, partitioned by attribute into typed narrow tables, and combined by outer
-joins that all share one partitioning by entity: the spine of entities is exchanged once and reused, each narrow table
-is exchanged once, and the joins run as a balanced tree - groups of about the square root of the number of attributes
-are outer-joined to the spine, and the groups, which all hold the whole spine, are joined pairwise without another
-shuffle.
+attribute gathers in one task) and written once, partitioned by attribute into typed narrow tables and bucketed by
+entity, so that all of them are co-partitioned. The outer joins that combine them need no exchange: groups of about the
+square root of the number of attributes are outer-joined to the spine of entities, and the groups, which all hold the
+whole spine, are joined pairwise as a balanced tree.
 """
 
 from __future__ import annotations
@@ -17,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cordwood.functions.plan import fenced
-from cordwood.session import stored
+from cordwood.session import scratch
 
 TYPES = {"int": "bigint", "num": "double", "bool": "boolean", "time": "timestamp", "text": "string"}
 # Spellings that mean there is no value, and spellings of truth values.
@@ -80,7 +79,7 @@ def cells(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """
     names = catalog.select(F.col("prop_name").alias("_name"), F.col("prop_type").alias("_type"), plain_name(F.col("prop_name")).alias("_k"))
     rows = rows.select("event_id", plain_name(F.col("prop_name")).alias("_k"), F.trim(F.regexp_replace("prop_value", r"(?U)^\s+|\s+$", "")).alias("_v"), "op", "set_at", "row_id")
-    rows = rows.where("event_id is not null").join(F.broadcast(names), "_k")  # the catalogue is the table's header
+    rows = rows.where("event_id is not null").join(names, "_k")  # the catalogue is small, as it is the table's header
     given = F.when(~F.lower(F.col("_v")).isin(*NO_VALUE), F.col("_v"))
     typed = {f"v_{k}": F.when((F.col("_type") == k) & (F.col("op") == "set"), read(given)) for k, read in _READ.items()}
     rows = fenced(rows, **typed)
@@ -90,14 +89,23 @@ def cells(rows: DataFrame, catalog: DataFrame) -> DataFrame:
     return held.where("_b.op = 'set'").select("event_id", F.col("_name").alias("prop_name"), F.col("_type").alias("prop_type"), *[F.col(f"_b.{c}").alias(c) for c in typed])
 
 
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """rows as a table partitioned by prop_name and bucketed by event_id, in as many buckets as shuffles have
+    partitions; every task writes one bucket."""
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch(spark)
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    rows.repartition(n, "event_id").write.partitionBy("prop_name").bucketBy(n, "event_id").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def widen(cell_rows: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
     """One row per event_id with one typed column per (name, type) of columns, from rows as cells() gives them.
 
     columns is the header of the result and thus bounded; a name must occur once. Events without any cell have no row.
     """
-    spark = cell_rows.sparkSession
-    narrow_rows = cell_rows.drop("prop_type")
-    held = spark.read.schema(narrow_rows.schema).parquet(stored(narrow_rows, ["prop_name"]))
+    held = _bucketed(cell_rows.drop("prop_type"))
     if not columns:
         return held.select("event_id").distinct()
     spine = held.select("event_id").distinct()
