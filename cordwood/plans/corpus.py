@@ -33,6 +33,11 @@ def p4_table(spark: SparkSession, folder: str) -> DataFrame:
     return drift.consistent(table(spark, folder, "drift_records"))
 
 
+def p4_columns(spark: SparkSession, folder: str) -> DataFrame:
+    """p4_table with a typed column for each field that at least one in twenty applications has."""
+    return drift.projected(drift.consistent(table(spark, folder, "drift_records")))
+
+
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return hierarchy.found(table(spark, folder, "trace_spans"))
 
@@ -54,7 +59,7 @@ def p7_wide(spark: SparkSession, folder: str) -> DataFrame:
     return wide.widen(wide.cells(table(spark, folder, "prop_rows"), catalog), wide.header(catalog))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_templates, p2_messages, p4_found, p4_table, p5_found, p5_paths, p5_descendants, p7_found, p7_wide)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_readings, p2_found, p2_templates, p2_messages, p4_found, p4_table, p4_columns, p5_found, p5_paths, p5_descendants, p7_found, p7_wide)}
 _NODES = """n AS (SELECT t, s, nullif(p, '') AS p FROM (
         SELECT lower(trim(trace_id)) AS t, lower(trim(span_id)) AS s, CASE WHEN regexp_full_match(trim(parent_span_id), '0*') THEN NULL ELSE lower(trim(parent_span_id)) END AS p, row_id
         FROM trace_spans WHERE start_ts IS NOT NULL) WHERE t <> '' AND s <> '' QUALIFY row_number() OVER (PARTITION BY t, s ORDER BY row_id) = 1),

@@ -50,6 +50,20 @@ def test_consistent_table(spark):
     assert rows[2].failed == {"A": "no"} and rows[2].nested == {"N": '{"k":[1]}'} and len(rows) == 4
 
 
+def test_renamed_fields_are_one(spark):
+    files = {1: [{"Num": i} for i in range(9)], 2: [{"Count": i} for i in range(9)], 3: [{"Total": i, "Num": "again"} for i in range(9)]}
+    rows = D.consistent(frame(spark, files)).collect()
+    assert {tuple(r.integers) for r in rows} == {("Total",)} and {r.texts.get("Num") for r in rows if r.file_no == 3} == {"again"} and len(rows) == 27
+
+
+def test_typed_columns(spark):
+    both = frame(spark, {1: [{"A": 1, "B": "x"}, {"A": "?"}]}).union(frame(spark, {1: [{"A": "text", "C": True}]}, "b")).union(frame(spark, {1: [{"A": 3}]}, "c"))
+    table = D.projected(D.consistent(both), 0.6)
+    rows = {(r.app, r.record_no): r for r in table.collect()}
+    assert [c for c in table.columns if c.startswith("field:")] == ["field:A"] and rows["a", 0]["field:A"] == 1 and rows["a", 0].texts == {"B": "x"}
+    assert rows["a", 1].failed == {"A": "?"} and rows["b", 0]["field:A"] is None and rows["b", 0].texts == {"A": "text"} and rows["b", 0].booleans == {"C": True}
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert D.changes(empty).count() == 0 and D.consistent(empty).count() == 0
