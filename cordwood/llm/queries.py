@@ -22,6 +22,11 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return runs.found(table(spark, folder, "log_events"))
 
 
+def p6_near(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of nearly alike events."""
+    return runs.near(table(spark, folder, "log_events"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encode(table(spark, folder, "documents"), "text", ["doc_id"])
 
@@ -52,7 +57,7 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.rates(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_frequent, p6_found, p8_ids, p8_round_trip, p9_found, p9_leaks, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_frequent, p6_found, p6_near, p8_ids, p8_round_trip, p9_found, p9_leaks, p10_found, p10_scores, p10_rates)}
 _P3 = """
     SELECT kind, signature, n FROM (
         SELECT kind, signature, count(*) AS n, sum(count(*)) OVER (PARTITION BY kind) AS n_rows
