@@ -12,6 +12,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return timestamps.found(table(spark, folder, "raw_events"), table(spark, folder, "pending_lines"), table(spark, folder, "log_sources"))
 
 
+def p1_readings(spark: SparkSession, folder: str) -> DataFrame:
+    """Every record with its notation, the zone it was read in, the posterior of the reading and whether it is ambiguous."""
+    return timestamps.readings(table(spark, folder, "raw_events"), table(spark, folder, "pending_lines"), table(spark, folder, "log_sources"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return templates.found(table(spark, folder, "tail_lines"))
 

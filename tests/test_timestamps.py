@@ -71,10 +71,37 @@ def test_wall_times_that_occur_twice_or_never(spark):
 
 
 def test_em_finds_the_order_without_declaration():
-    counts = pd.DataFrame({"notation": ["slash"] * 3, "ba": [None, 5, 20], "bb": [5, 22, 5], "declared": [None] * 3, "n": [50, 3, 40]})
+    counts = pd.DataFrame({"notation": ["slash"] * 3, "ba": [None, 5, 20], "bb": [5, 22, 5], "bu": [None] * 3, "declared": [None] * 3, "n": [50, 3, 40]})
     assert T.fit(counts, strength=1.0).weight_a.iat[0] < 0.2
 
 
+def planted(source, offset_h, stamps=60):
+    """Stamps of a source whose wall clock is offset_h ahead of UTC: read 2 to 40 s later; every third has its offset."""
+    out = []
+    for i in range(stamps):
+        at = dt.datetime(2025, 6, 1 + i % 28, 1 + i % 22, 10, i % 60, tzinfo=UTC)
+        wall = at + dt.timedelta(hours=offset_h)
+        raw = wall.strftime("%Y-%m-%d %H:%M:%S") + (f"+{offset_h:02d}:00" if i % 3 == 0 else "") if i % 4 else wall.strftime("%m/%d/%Y %H:%M:%S")
+        out.append((source, raw, at + dt.timedelta(seconds=2 + i % 39), int(at.timestamp()) * 1_000_000))
+    return out
+
+
+def test_mixtures_decide_what_is_not_declared(spark):
+    rows = [*planted("east", 2), *planted("plain", 0)]
+    zones = spark.createDataFrame([*ZONES, ("tokyo", "Asia/Tokyo", "dmy")], "source string, zone_name string, date_order string")
+    df = spark.createDataFrame(rows, "source string, raw string, read_at timestamp, true_us long")
+    got = T.normalise(df, "source", "raw", "read_at", zones).collect()
+    assert all(r.utc_us == r.true_us for r in got) and {r.zone for r in got if r.source == "east"} == {"Europe/Berlin", None}
+    without = T.normalise(df, "source", "raw", "read_at", zones, rounds=0).collect()
+    assert sum(r.utc_us != r.true_us for r in without) > 20  # without the mixtures zone and order are wrong
+
+
+def test_equal_wall_times_are_marked(spark):
+    late = us(2025, 10, 26, 1, 30)
+    rows = [("berlin", "2025-10-26 02:30:00", dt.datetime.fromtimestamp(late / 1e6 + d, UTC)) for d in (20_000, -1)] + [("berlin", "2025-10-27 02:30:00", LATE)]
+    assert [r["ambiguous"] for r in run(spark, rows)] == [True, False, False]
+
+
 def test_ambiguity_is_marked(spark):
     zones = spark.createDataFrame([("s", "Etc/UTC", None)], "source string, zone_name string, date_order string")
     df = spark.createDataFrame([("s", "03/04/2025 10:00:00", None)], "source string, raw string, read_at timestamp")
