@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,19 +93,38 @@ def words(text: str | None) -> tuple[list[str], list[int]]:
     for mark in ("**", "__", "~~", "*", "`"):
         if mark in t.text:
             t.sub(re.compile(re.escape(mark)), lambda m: "")
-    found, offsets = [], []
-    for m in _WORD.finditer(t.text):
-        found.append(_JOINT.sub("", m[0]).casefold())
-        offsets.append(t.at[m.start()])
-    return found, offsets
+    plain = t.text.isascii()
+    hits = list(_WORD.finditer(t.text.lower() if plain else t.text))
+    found = [w if (w := m[0]).isalnum() else _JOINT.sub("", w) for m in hits]
+    return found if plain else [w.casefold() for w in found], [t.at[m.start()] for m in hits]
 
 
-def instructions(texts: list[str], shared: int = SHARED) -> set[tuple[str, ...]]:
-    """Sentences of five words or more that stand in at least shared of the texts, as normalised words."""
-    seen: Counter = Counter()
-    for text in texts:
-        seen.update({s for s in (tuple(words(x)[0]) for x in _sentences(text)) if len(s) >= 5})
-    return {s for s, n in seen.items() if n >= shared}
+def instructions(items: DataFrame, shared: int = SHARED) -> set[tuple[str, ...]]:
+    """Sentences of five words or more that stand in at least shared of the items, as normalised words. Counted where
+    the items lie; what comes back are the shared ones alone."""
+
+    def sentences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            each = ({" ".join(w) for x in _sentences(t) if len(w := words(x)[0]) >= 5} for t in pdf["text"])
+            if got := [s for found in each for s in found]:
+                yield pd.DataFrame({"sentence": got})
+
+    counts = items.select("text").mapInPandas(sentences, "sentence string").groupBy("sentence").agg(F.count("*").alias("n"))
+    return {tuple(r.sentence.split(" ")) for r in counts.where(F.col("n") >= shared).toLocalIterator()}
+
+
+def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in blocks of at most BLOCK_WORDS words (or one longer item), one after the other."""
+    block: list[tuple[int, str]] = []
+    size = 0
+    for r in items.toLocalIterator():
+        n = r.text.count(" ") + 1
+        if block and size + n > BLOCK_WORDS:
+            yield block
+            block, size = [], 0
+        block.append((r.item_id, r.text))
+        size += n
+    yield block
 
 
 def _sentences(text: str | None) -> list[str]:
@@ -113,12 +132,13 @@ def _sentences(text: str | None) -> list[str]:
 
 
 class Matcher:
-    """The automaton of a block of items and the search for them in one text."""
+    """The automaton of a block of items and the search for them in one text. Its patterns are the runs of SEED words
+    of an item, or the whole item if that is shorter."""
 
     def __init__(self, items: list[tuple[int, str]], shared: set[tuple[str, ...]]):
         import ahocorasick
 
-        self.items: dict[int, list[str]] = {}
+        self.keys, self.words, self.seed = [], [], []
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for key, text in items:
             mine: list[str] = []
@@ -126,106 +146,127 @@ class Matcher:
                 w = words(s)[0]
                 if tuple(w) not in shared:
                     mine += w
-            self.items[key] = mine
-            for i in range(len(mine) - SEED + 1):
-                places[" " + " ".join(mine[i : i + SEED]) + " "].append((key, i))
+            seed = min(SEED, len(mine))
+            for i in range(len(mine) - seed + 1 if seed else 0):
+                places[" " + " ".join(mine[i : i + seed]) + " "].append((len(self.keys), i))
+            self.keys.append(key)
+            self.words.append(mine)
+            self.seed.append(seed)
         self.automaton = ahocorasick.Automaton()
-        for pattern, where in places.items():
-            self.automaton.add_word(pattern, (len(pattern), where))
+        for k, pattern in enumerate(places):
+            self.automaton.add_word(pattern, k)
         if places:
             self.automaton.make_automaton()
         self.empty = not places
+        self.length = np.array([len(x) for x in places], int)
+        every = [x for where in places.values() for x in where]
+        self.first = np.concatenate([[0], np.cumsum([len(x) for x in places.values()])]).astype(int)
+        self.item, self.word = np.array([x[0] for x in every], int), np.array([x[1] for x in every], int)
+        size = np.array([len(w) for w in self.words], int)
+        self.longest = int(size.max()) if len(size) else 0
+        self.seeds = np.minimum(SEED, size)
+        self.need = -(-size // 2)  # words of half an item
+        self.slack = size // 4
+        # words in a row that make a leak; items too short for a changed copy: half of them, three at least, or all
+        self.run = np.where(size < 2 * SEED, np.maximum(self.need, self.seeds), RUN)
 
     def find(self, text: str | None) -> list[tuple[int, int, int]]:
         """(item, number of its words held, offset in text) of every item that the text holds."""
         found, offsets = words(text)
-        if self.empty or len(found) < SEED:
+        if self.empty or not found:
             return []
         line = " " + " ".join(found) + " "
-        starts, at = [], 0  # where each word's blank stands
-        for w in found:
-            starts.append(at)
-            at += len(w) + 1
-        hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for end, (length, where) in self.automaton.iter(line):
-            place = bisect_left(starts, end - length + 1)
-            for item, i in where:
-                hits[item].append((place, i))
+        hits = list(self.automaton.iter(line))
+        if not hits:
+            return []
+        ends, ids = np.array(hits).T
+        blanks = np.cumsum([0, *map(len, found[:-1])]) + np.arange(len(found))  # ahead of each word
+        begins = np.searchsorted(blanks, ends - self.length[ids] + 1)
+        # one row per hit and place of its pattern in an item, by item and diagonal
+        counts = self.first[ids + 1] - self.first[ids]
+        at = np.repeat(self.first[ids], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        item, i, p = self.item[at], self.word[at], np.repeat(begins, counts)
+        # hits as one number that sorts by item, diagonal and place; an item's diagonals lie far from those of others
+        wide = 4 * (len(found) + self.longest + 1)
+        order = np.lexsort((p, item * wide + p - i))
+        item, i, p = item[order], i[order], p[order]
+        key = item * wide + p - i
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (p[1:] != p[:-1] + 1)]))
+        runs = np.diff(np.append(new, len(p))) + self.seeds[item[new]] - 1  # runs on one diagonal
+        near = np.searchsorted(key, key + self.slack[item], "right") - np.searchsorted(key, key - self.slack[item])
+        wanted = np.union1d(item[new][runs >= self.run[item[new]]], item[near * SEED * 2 >= self.need[item]])
         out = []
-        for item, pairs in hits.items():
-            got = self._held(self.items[item], found, pairs)
+        for k in wanted.tolist():
+            a, b = np.searchsorted(item, [k, k + 1])
+            mine = slice(*np.searchsorted(new, [a, b]))
+            got = self._held(k, found, p[a:b], i[a:b], runs[mine], p[new[mine]])
             if got:
-                out.append((item, got[0], offsets[got[1]]))
+                out.append((self.keys[k], got[0], offsets[got[1]]))
         return out
 
-    def _held(self, item: list[str], doc: list[str], pairs: list[tuple[int, int]]) -> tuple[int, int] | None:
-        here = set(pairs)
-        best = (0, 0)
-        for p, i in pairs:  # runs on one diagonal
-            if (p - 1, i - 1) not in here:
-                n = 0
-                while (p + n, i + n) in here:
-                    n += 1
-                best = max(best, (n + SEED - 1, -p))
-        if best[0] >= min(RUN, max(len(item), SEED)) and best[0] >= RUN:
-            return best[0], -best[1]
-        need = -(-len(item) // 2)
-        if need < SEED or len(item) < 2 * SEED:
-            return (best[0], -best[1]) if best[0] >= max(need, SEED) else None
-        # passages where the seeds are dense enough for a changed copy of half the item
-        spans = sorted({p - i for p, i in pairs})
-        tried: list[tuple[int, int]] = []
-        for d in spans:
-            lo, hi = d - len(item) // 4, d + len(item) + len(item) // 4
-            if tried and lo < tried[-1][0] + len(item) // 8:
+    def _held(self, k: int, doc: list[str], p: np.ndarray, i: np.ndarray, runs: np.ndarray, begins: np.ndarray) -> tuple[int, int] | None:
+        item = self.words[k]
+        diagonal = p - i
+        need, slack = int(self.need[k]), int(self.slack[k])
+        top = int(np.argmax(runs))  # the longest run, the first of equal ones
+        if runs[top] >= self.run[k]:
+            return int(runs[top]), int(begins[runs == runs[top]].min())
+        if len(item) < 2 * SEED:
+            return None
+        # passages where the seeds are dense enough for a changed copy of half the item; hits stand by diagonal
+        every = np.unique(diagonal)
+        lows, highs = np.searchsorted(diagonal, every - slack), np.searchsorted(diagonal, every + slack, "right")
+        dense = (highs - lows) * SEED * 2 >= need
+        tried = None
+        for d, low, high in zip(every[dense].tolist(), lows[dense].tolist(), highs[dense].tolist()):
+            lo, hi = d - slack, d + len(item) + slack
+            if tried is not None and lo < tried + len(item) // 8:
                 continue
-            seeds = {i for p, i in pairs if abs((p - i) - d) <= len(item) // 4}
-            covered = {j for i in seeds for j in range(i, i + SEED)}
-            if len(covered) * 2 < need:
+            held = set(i[low:high].tolist())
+            if len(held | {x + 1 for x in held} | {x + 2 for x in held}) * 2 < need:
                 continue
-            tried.append((lo, hi))
+            tried = lo
             got = aligned(item, doc, max(0, lo), min(len(doc), hi), need)
             if got:
                 return got
         return None
 
 
-def aligned(item: list[str], doc: list[str], lo: int, hi: int, need: int, changed: float = CHANGED + SLACK) -> tuple[int, int] | None:
-    """(words held, place in doc) of the longest stretch of item, need words or more, that doc[lo:hi] has in order
-    with at most a share of changed words changed or dropped; None without one."""
-    part = doc[lo:hi]
+def _paired(item: list[str], part: list[str]) -> list[tuple[int, int]]:
+    """Places of equal words of a common subsequence of both, with a small price for whatever is passed over, so that
+    words stay together; row by row over arrays."""
     n, m = len(item), len(part)
-    # longest common subsequence with a small price for jumps in the document, so that words stay together
-    score = [[0.0] * (m + 1) for _ in range(n + 1)]
-    back = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        above, row, trace, word = score[i - 1], score[i], back[i], item[i - 1]
-        for j in range(1, m + 1):
-            best, step = above[j] - 0.25, 1
-            if row[j - 1] - 0.25 > best:
-                best, step = row[j - 1] - 0.25, 2
-            diagonal = above[j - 1] + (1.0 if word == part[j - 1] else -0.3)
-            if diagonal >= best:
-                best, step = diagonal, 3
-            if best <= 0:
-                best, step = 0.0, 0
-            row[j], trace[j] = best, step
-    top, i, j = max((score[i][j], i, j) for i in range(n + 1) for j in range(m + 1))
-    if top <= 0:
-        return None
-    kept: list[tuple[int, int]] = []
-    while i and j and back[i][j]:
-        step = back[i][j]
-        if step == 3:
-            if item[i - 1] == part[j - 1]:
-                kept.append((i - 1, j - 1))
+    code = {w: k for k, w in enumerate(dict.fromkeys(item))}
+    a, b = np.array([code[w] for w in item]), np.array([code.get(w, -1) for w in part])
+    gap = 0.25
+    score = np.zeros((n + 1, m + 1))
+    steps = np.arange(m + 1) * gap
+    for r in range(1, n + 1):
+        row = np.maximum(score[r - 1, 1:] - gap, score[r - 1, :-1] + np.where(b == a[r - 1], 1.0, -0.3))
+        row = np.concatenate([[0.0], np.maximum(row, 0.0)])
+        score[r] = np.maximum.accumulate(row + steps) - steps  # passing over words of the passage
+    i, j = np.unravel_index(int(np.argmax(score)), score.shape)
+    kept = []
+    while i and j and score[i, j] > 1e-9:
+        here = score[i, j]
+        if abs(here - score[i - 1, j - 1] - (1.0 if a[i - 1] == b[j - 1] else -0.3)) < 1e-9:
+            if a[i - 1] == b[j - 1]:
+                kept.append((int(i) - 1, int(j) - 1))
             i, j = i - 1, j - 1
-        elif step == 1:
+        elif abs(here - score[i - 1, j] + gap) < 1e-9:
             i -= 1
         else:
             j -= 1
-    kept.reverse()
+    return kept[::-1]
+
+
+def aligned(item: list[str], doc: list[str], lo: int, hi: int, need: int, changed: float = CHANGED + SLACK) -> tuple[int, int] | None:
+    """(words held, place in doc) of a stretch of item, need words or more, that doc[lo:hi] has in order with at most a
+    share of changed words changed or dropped; None without one."""
+    kept = _paired(item, doc[lo:hi])
     for a in range(len(kept)):
+        if kept[-1][0] - kept[a][0] + 1 < need:
+            break
         for b in range(len(kept) - 1, a, -1):
             wide = kept[b][0] - kept[a][0] + 1
             if wide < need:
@@ -240,24 +281,16 @@ def leaks(docs: DataFrame, items: DataFrame, text: str = "text", key: str = "doc
     """key, item_id, n_words, at: every item that a document holds, with the number of its words found and the offset
     of the passage in the document's own text.
 
-    Items with null text or id are dropped; copies of an item id are matched as one each. Every block of at most
-    BLOCK_WORDS words of items is one automaton and one scan.
+    Items with null text or id are dropped; copies of an item id are matched as one each. Of an item of fewer than six
+    words half of them, three at least, must stand in a row, of one of one or two words all. Every block of at most
+    BLOCK_WORDS words of items is one automaton and one scan; the driver holds one block at a time.
     """
-    rows = [(r.item_id, r.text) for r in items.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator()]
-    shared = instructions([t for _, t in rows])
-    blocks: list[list] = [[]]
-    size = 0
-    for r in rows:
-        n = r[1].count(" ") + 1
-        if size + n > BLOCK_WORDS and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(r)
-        size += n
+    items = items.select("item_id", "text").where("item_id is not null and text is not null")
+    shared = instructions(items)
     spark = docs.sparkSession
     narrow = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).where("_key is not null")
     out = None
-    for block in blocks:
+    for block in item_blocks(items):
         sent = spark.sparkContext.broadcast((block, shared))
 
         def scan(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:

@@ -74,3 +74,15 @@ def test_blocks_of_items(spark, monkeypatch):
 @pytest.mark.parametrize(("text", "expected"), [("It's A-B c", ["its", "ab", "c"]), ("\\u0041b\\nC", ["ab", "c"]), ("[2025-03-04 02:35:56] x\n12:00:01 y\nname12: z", ["x", "y", "z"]), ("<script>a</script> 1 < 2 > 0", ["a", "1", "2", "0"])])
 def test_words(text, expected):
     assert L.words(text)[0] == expected
+
+
+def test_short_items(spark):
+    docs = spark.createDataFrame([(1, "so the quiet harbour sings at dusk"), (2, "quiet harbour"), (3, "a harbour, quiet"), (4, "the old ferryman")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "Quiet harbour"), (2, "the quiet harbour sings"), (3, "old ferryman waits here")], "item_id long, text string")
+    assert {tuple(r) for r in L.found(docs, items).collect()} == {(1, 1), (2, 1), (1, 2)}
+
+
+def test_items_in_blocks(spark, monkeypatch):
+    whole = found(spark, disguises())
+    monkeypatch.setattr(L, "BLOCK_WORDS", 20)
+    assert found(spark, disguises()) == whole
