@@ -13,6 +13,7 @@ documented bound; every document is scored.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
@@ -48,6 +49,9 @@ _TOKEN = re.compile(r"[\w@$*!]+(?:['’][\w]+)*")
 _STRETCHED = re.compile(r"(.)\1{2,}")
 _DOUBLE = re.compile(r"([a-z])\1+")
 _LETTERS = re.compile(r"[a-z]")
+_DIGIT = re.compile(r"\d")
+_MARKS = re.compile("[" + "".join(chr(c) for c in range(0x300, 0x1F000) if unicodedata.combining(chr(c))) + "]+")
+_SPACED_HINT = re.compile(r"(?<![\w@$!*])[\w@$!*][ .\-_·][\w@$!*][ .\-_·][\w@$!*](?![\w@$*])|[\w@$!*](?:[.\-_·][\w@$!*]){2}")
 
 
 def sentences(text: str | None) -> list[str]:
@@ -55,6 +59,12 @@ def sentences(text: str | None) -> list[str]:
     return [s for s in (x.strip() for x in _SENTENCE.split(_INVISIBLE.sub("", text or ""))) if s]
 
 
+@functools.lru_cache(200_000)
+def _undoubled(token: str) -> str:
+    """A word with stretched and double letters made one."""
+    return _DOUBLE.sub(r"\1", _STRETCHED.sub(r"\1", token))
+
+
 def terms(sentence: str) -> list[str]:
     """Terms of a sentence without their disguises.
 
@@ -62,16 +72,21 @@ def terms(sentence: str) -> list[str]:
     signs become the letters they stand for; stretched and double letters become one. Starred words stay as they are,
     with the mark * as another term; numbers and ids become #.
     """
-    s = unicodedata.normalize("NFKD", _PREFIX.sub("", sentence).casefold())
+    s = _PREFIX.sub("", sentence).casefold()
     if not s.isascii():
-        s = "".join(c for c in s if not unicodedata.combining(c))
-    s = _SPACED.sub(lambda m: re.sub(r"[ .\-_·]", "", m[0]), s)
-    s = _ID.sub(lambda m: " # ", s) if any(c.isdigit() for c in s) else s
+        s = unicodedata.normalize("NFKD", s)
+        if not s.isascii():
+            s = _MARKS.sub("", s)
+    if _SPACED_HINT.search(s):
+        s = _SPACED.sub(lambda m: re.sub(r"[ .\-_·]", "", m[0]), s)
+    if _DIGIT.search(s):
+        s = _ID.sub(" # ", s)
     out = ["#"] if "#" in s else []
     for token in _TOKEN.findall(s):
-        token = token.rstrip("!").strip("_")
-        if not token:
-            continue
+        if not token.isalpha():
+            token = token.rstrip("!").strip("_")
+            if not token:
+                continue
         if not token.isalpha():
             core = token.strip("*")
             if "*" in core or ("*" in token and core and _LETTERS.search(core) and not token.startswith("*")):
@@ -89,7 +104,7 @@ def terms(sentence: str) -> list[str]:
             else:
                 out.append("#")
                 continue
-        out.append(_DOUBLE.sub(r"\1", _STRETCHED.sub(r"\1", token)))
+        out.append(_undoubled(token))
     return out
 
 
