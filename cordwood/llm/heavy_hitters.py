@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cordwood.session import cut
+
 
 class LossyCounter:
     """Lossy counting of one stream with error epsilon: true count - epsilon * n <= count <= true count."""
@@ -88,7 +90,7 @@ def frequent(df: DataFrame, group: str, item: str, support: float = 0.005, epsil
     support. An empty table gives an empty result; extra columns are ignored.
     """
     epsilon = epsilon or support / 20
-    parts = summaries(df, group, item, epsilon, support / 4)
+    parts = cut(summaries(df, group, item, epsilon, support / 4))  # a few rows a partition, looked at twice
     total = F.col("_item").isNull()
     sums = parts.groupBy("_g", "_item").agg(F.sum("count").alias("low"), F.sum("missed").alias("_missed"), F.sum("absent").alias("_absent"))
     # the rows of each group's totals: one per group, taken along by a second look at the same small sums
@@ -105,8 +107,6 @@ def exact(df: DataFrame, group: str, item: str, support: float = 0.005, most: in
     shuffle beyond.
     """
     found = frequent(df, group, item, support)
-    from cordwood.session import cut
-
     found = cut(found.select(F.col(group).alias("_g"), F.col(item).alias("_i"), "n_rows"))
     small = found.limit(most + 1).count() <= most
     rows = df.select(F.col(group).alias("_rg"), F.col(item).alias("_ri")).where("_ri is not null and _ri <> ''")

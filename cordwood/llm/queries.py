@@ -18,6 +18,11 @@ def p3_frequent(spark: SparkSession, folder: str) -> DataFrame:
     return heavy_hitters.exact(table(spark, folder, "pattern_hits"), "kind", "signature", 1 / 200).select("kind", "signature", "n")
 
 
+def p3_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    """kind, signature, low, high, n_rows: what the summaries guarantee of every signature that may be frequent."""
+    return heavy_hitters.frequent(table(spark, folder, "pattern_hits"), "kind", "signature", 1 / 200)
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return runs.found(table(spark, folder, "log_events"))
 
@@ -57,7 +62,7 @@ def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
     return abuse.rates(table(spark, folder, "documents"), table(spark, folder, "doc_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_frequent, p6_found, p6_near, p8_ids, p8_round_trip, p9_found, p9_leaks, p10_found, p10_scores, p10_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_frequent, p3_intervals, p6_found, p6_near, p8_ids, p8_round_trip, p9_found, p9_leaks, p10_found, p10_scores, p10_rates)}
 _P3 = """
     SELECT kind, signature, n FROM (
         SELECT kind, signature, count(*) AS n, sum(count(*)) OVER (PARTITION BY kind) AS n_rows
