@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -104,6 +105,58 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.join(sums, ["source", "_at"]).select("source", (F.col("_id") - F.col("_first") + F.col("_base") + 1).alias("line_number"), "text")
 
 
+STRIDE = 1024  # lines between two entries of a line index
+
+
+def line_index(spark: SparkSession, path: str, store: str) -> DataFrame:
+    """source, size, changed, line_number, byte_offset: where every STRIDE-th line of UTF-8 text files begins, and with
+    line_number 0 how many lines there are (in byte_offset).
+
+    The index is kept as a table in store. A file whose size and time of change are as they were is not read again;
+    others are read once, in splits, and their entries added, so that old ones of a changed file no longer match.
+    """
+    now = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), F.col("length").alias("size"), F.col("modificationTime").alias("changed"))
+    schema = "source string, size long, changed timestamp, line_number long, byte_offset long"
+    try:
+        held = spark.read.schema(schema).parquet(store)
+        stale = now.join(held.where("line_number = 0"), ["source", "size", "changed"], "left_anti").select("source").collect()
+    except AnalysisException:  # there is none yet
+        stale = now.select("source").collect()
+    if stale:
+        raw = spark.read.option("lineSep", "\n").text([r.source for r in stale]).select(
+            F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), (F.octet_length("value") + 1).cast("long").alias("_b"),
+        )
+        before = W.partitionBy("source", "_at").orderBy("_id").rowsBetween(W.unboundedPreceding, -1)
+        inner = raw.withColumns({"_n": F.row_number().over(W.partitionBy("source", "_at").orderBy("_id")), "_o": F.coalesce(F.sum("_b").over(before), F.lit(0))})
+        sums = raw.groupBy("source", "_at").agg(F.count("*").alias("_lines"), F.sum("_b").alias("_bytes"))
+        past = W.partitionBy("source").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+        sums = sums.withColumns({"_ln": F.coalesce(F.sum("_lines").over(past), F.lit(0)), "_bo": F.coalesce(F.sum("_bytes").over(past), F.lit(0))})
+        rows = inner.join(sums, ["source", "_at"]).select("source", (F.col("_n") + F.col("_ln")).alias("line_number"), (F.col("_o") + F.col("_bo")).alias("byte_offset"))
+        total = sums.groupBy("source").agg(F.lit(0).cast("long").alias("line_number"), F.sum("_lines").alias("byte_offset"))
+        kept = rows.where((F.col("line_number") - 1) % STRIDE == 0).unionByName(total.select("source", "line_number", "byte_offset"))
+        kept.join(now, "source").select("source", "size", "changed", "line_number", "byte_offset").coalesce(1 + len(stale) // 64).write.mode("append").parquet(store)
+        held = spark.read.schema(schema).parquet(store)
+    return held.join(now, ["source", "size", "changed"], "left_semi")
+
+
+def read_page(index: DataFrame, source: str, first: int, count: int) -> list[tuple[int, str]]:
+    """(line_number, text) of count lines of a file from first on: the index says where to begin, and no more than a
+    stride and the page is read. The file has to be one that the driver can open."""
+    start = index.where((F.col("source") == source) & F.col("line_number").between(1, first)).orderBy(F.desc("line_number")).limit(1).collect()
+    if not start or count <= 0:
+        return []
+    out, number = [], start[0].line_number
+    with open(source.removeprefix("file:").replace("///", "/", 1), "rb") as f:
+        f.seek(start[0].byte_offset)
+        for raw in f:
+            if number >= first:
+                out.append((number, raw.decode("utf-8", "replace").rstrip("\n").removesuffix("\r")))
+            if len(out) == count:
+                break
+            number += 1
+    return out
+
+
 def read_any(spark: SparkSession, path: str, include_unterminated: bool = True, fallback: str = "cp1252", glob: str | None = None) -> DataFrame:
     """source, line_number, text of files in any encoding and compression, told by their bytes; one task a file, as
     neither can be split."""

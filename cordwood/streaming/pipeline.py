@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import time
 from collections.abc import Callable, Iterator
@@ -25,13 +26,56 @@ def prepared(lines: DataFrame) -> DataFrame:
 
 
 def novelty(rows: DataFrame, warmup: int = K.NOVELTY_WARMUP, min_severity: int = K.NOVELTY_SEVERITY) -> DataFrame:
-    """The first row of each severity and shape of a source and epoch past its first warmup lines.
+    """source, epoch, line_number, severity, shape of the first line of each severity and shape of a source and epoch,
+    past the first warmup lines that were observed, wherever the tail began; lines of any severity and without one are
+    observed.
 
-    rows: as prepared() gives them, with epoch. Shapes are kept in the state store, one entry each; a reset of the
-    source begins a new epoch and with it new shapes. Shapes met during warm-up stay known.
+    rows: as prepared() gives them, with epoch. The state holds a hash for each shape of min_severity or more; a reset
+    of the source begins a new epoch and with it new shapes. Shapes met during warm-up stay known. Texts stay behind.
     """
-    first = rows.where(F.col("severity") >= min_severity).dropDuplicates(["source", "epoch", "severity", "shape"])
-    return first.where(F.col("line_number") > warmup)
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        observed, known = state.get if state.exists else (0, [])
+        known = set(known)
+        out = []
+        for r in pd.concat(list(batches)).sort_values("line_number").itertuples():
+            observed += 1
+            if pd.isna(r.severity) or r.severity < min_severity or r.hash in known:
+                continue
+            known.add(r.hash)
+            if observed > warmup:
+                out.append((*key, r.line_number, int(r.severity), r.shape))
+        state.update((observed, list(known)))
+        yield pd.DataFrame(out, columns=["source", "epoch", "line_number", "severity", "shape"])
+
+    grave = F.col("severity") >= min_severity
+    narrow = rows.select("source", "epoch", "line_number", "severity", F.when(grave, F.col("shape")).alias("shape"), F.xxhash64("severity", "shape").alias("hash"))
+    return narrow.groupBy("source", "epoch").applyInPandasWithState(
+        step, "source string, epoch int, line_number long, severity int, shape string", "observed long, known array<long>", "append", GroupStateTimeout.NoTimeout
+    )
+
+
+def sessions(rows: DataFrame, gap_us: int = K.BLOCK_GAP_US, most: int = K.BLOCK_LINES) -> DataFrame:
+    """source, thread, line_number, block_id of a stream of events (source, thread, line_number, ts): the blocks of
+    blocks_by_proximity as they grow. Per source and thread the state holds the time of the last event and where its
+    block began; a missing time parts nothing, nothing is dropped for being late."""
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, first, n = state.get if state.exists else (None, None, 0)
+        out = []
+        for line, us in pd.concat(list(batches)).sort_values("line_number")[["line_number", "us"]].itertuples(index=False):
+            us = None if pd.isna(us) else int(us)
+            if first is None or (last is not None and us is not None and abs(us - last) > gap_us):
+                first, n = int(line), 0
+            out.append((*key, line, "\x1f".join((key[0], key[1], str(first), str(n // most)))))
+            last, n = us, n + 1
+        state.update((last, first, n))
+        yield pd.DataFrame(out, columns=["source", "thread", "line_number", "block_id"])
+
+    narrow = rows.select("source", F.coalesce("thread", F.lit("\0")).alias("thread"), "line_number", F.unix_micros("ts").alias("us"))
+    return narrow.groupBy("source", "thread").applyInPandasWithState(
+        step, "source string, thread string, line_number long, block_id string", "last long, first long, n long", "append", GroupStateTimeout.NoTimeout
+    )
 
 
 def alerts(hits: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -97,14 +141,27 @@ def merged(lines: DataFrame, group: str, window_s: float = 2.0, clock: Callable[
     return rows.groupBy("group").applyInPandasWithState(step, "group string, line_number long, source string, text string", "kept string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def volume(rows: DataFrame, width: str, late: str) -> DataFrame:
-    """start, total, warnings, errors per window of event time; windows close once they are late old."""
-    counts = rows.where("own_ts is not null").withWatermark("own_ts", late).groupBy(F.window("own_ts", width)).agg(
+def volume(rows: DataFrame, width: str, late: str | None = None, first: dt.datetime | None = None) -> DataFrame:
+    """start, total, warnings, errors per window of event time, counted from first on if it is given.
+
+    With late, windows close once they are that old, and what comes later still is lost. Without it nothing is: the
+    stream is to be written in update or complete mode, and bins, of which there are few, stay open.
+    """
+    timed = rows.where("own_ts is not null")
+    timed = timed.withWatermark("own_ts", late) if late else timed
+    shift = f"{int(first.timestamp() * 1_000_000) % _width_us(width)} microseconds" if first else "0 seconds"
+    counts = timed.groupBy(F.window("own_ts", width, None, shift)).agg(
         F.count("*").alias("total"), F.count_if(F.col("severity") == 3).alias("warnings"), F.count_if(F.col("severity") >= 4).alias("errors")
     )
     return counts.select(F.col("window.start").alias("start"), "total", "warnings", "errors")
 
 
+def _width_us(width: str) -> int:
+    units = {"microsecond": 1, "millisecond": 1000, "second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6, "day": 86400 * 10**6}
+    n, unit = width.split()
+    return int(n) * units[unit.rstrip("s")]
+
+
 def last_lines(path: str, n: int = 50_000) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink that keeps the last n lines of each source as Parquet under path."""
 

@@ -107,6 +107,94 @@ def test_tail_reader(tmp_path):
     assert [x[5] for x in gone] == ["Deleted"]
 
 
+def test_first_look_at_any_size_and_long_lines(tmp_path):
+    path = tmp_path / "big.log"
+    path.write_bytes(b"".join(b"%06d\r\n" % i for i in range(1, 30_001)))
+    r = tail.FileTailReader({"path": str(path), "lastLines": "3", "maxbytes": "1000"})
+    rows, offset = r.read(r.initialOffset())
+    assert [(x[2], x[3], x[4]) for x in rows] == [(n, (n - 1) * 8, f"{n:06d}") for n in (29_998, 29_999, 30_000)] and offset["byte"] == 240_000
+    path.write_bytes(b"x" * 5000 + b"\nend\n")
+    r = tail.FileTailReader({"path": str(path), "maxbytes": "1000"})
+    got, offset = [], r.initialOffset()
+    for _ in range(3):
+        more, offset = r.read(offset)
+        got += [(x[2], x[3], len(x[4])) for x in more]
+    assert got == [(1, 0, 5000), (2, 5001, 3)]
+    path.write_bytes("\ufeffa\r\nb\u010a\n".encode("utf-16-le"))
+    rows, _ = tail.FileTailReader({"path": str(path)}).read(r.initialOffset())
+    assert [(x[2], x[3], x[4]) for x in rows] == [(1, 2, "a"), (2, 8, "b\u010a")]
+
+
+def serve(answer):
+    """A server on a free port that gives answer(connection) for each connection; returns the port."""
+    import socket
+    import threading
+
+    server = socket.create_server(("127.0.0.1", 0))
+
+    def run():
+        while True:
+            link, _ = server.accept()
+            with link:
+                answer(link)
+
+    threading.Thread(target=run, daemon=True).start()
+    return server.getsockname()[1]
+
+
+def taken(reader, n):
+    offset, rows, until = reader.initialOffset(), [], time.time() + 10
+    while len(rows) < n and time.time() < until:
+        more, offset = reader.read(offset)
+        rows += list(more)
+        time.sleep(0.05)
+    return rows, offset
+
+
+def test_server_sent_events_and_spool(tmp_path):
+    def answer(link):
+        link.recv(4096)
+        link.sendall(b"HTTP/1.1 200 OK\r\nContent-Type: text/event-stream\r\n\r\nevent: log\ndata: one\n\n: ping\ndata: two\n\n")
+        time.sleep(5)
+
+    r = tail.HttpStreamReader({"url": f"http://127.0.0.1:{serve(answer)}/", "spool": str(tmp_path / "spool")})
+    rows, offset = taken(r, 2)
+    assert [(x[2], x[4]) for x in rows] == [(1, "one"), (2, "two")] and offset["line"] == 2
+    again = tail.Feed({"spool": str(tmp_path / "spool")}, "x")  # after a restart the planned batch is still there
+    assert [x[4] for x in again.readBetweenOffsets({"line": 0, "epoch": 0}, offset)][:1] == ["one"]
+    again.commit(offset)
+    assert list((tmp_path / "spool").iterdir()) == []
+
+
+def test_websocket():
+    def frame(code, body, last=True, size=None):
+        head = bytes([(0x80 if last else 0) | code])
+        return head + (bytes([len(body)]) if len(body) < 126 else bytes([126]) + len(body).to_bytes(2, "big")) + body
+
+    def answer(link):
+        link.recv(4096)
+        link.sendall(b"HTTP/1.1 101 Switching Protocols\r\nUpgrade: websocket\r\n\r\n")
+        link.sendall(frame(1, b"a\r\nb", False) + frame(9, b"hi") + frame(0, b"c\n") + frame(1, b"x" * 300) + frame(8, b""))
+        time.sleep(5)
+
+    rows, _ = taken(tail.WebSocketReader({"url": f"ws://127.0.0.1:{serve(answer)}/live"}), 3)
+    assert [x[4] for x in rows] == ["a", "bc", "x" * 300]
+
+
+def test_line_index(spark, tmp_path):
+    path, store = tmp_path / "i.log", str(tmp_path / "index")
+    path.write_bytes(b"".join(b"line %d \xc3\xa9\r\n" % i for i in range(1, 5001)))
+    index = lines.line_index(spark, str(path), store)
+    source = index.first().source
+    assert sorted(r.line_number for r in index.collect()) == [0, 1, 1025, 2049, 3073, 4097]
+    assert lines.read_page(index, source, 2050, 3) == [(n, f"line {n} é") for n in (2050, 2051, 2052)] and lines.read_page(index, source, 5000, 9) == [(5000, "line 5000 é")]
+    written = len(list((tmp_path / "index").glob("*.parquet")))
+    assert lines.line_index(spark, str(path), store).count() == 6 and len(list((tmp_path / "index").glob("*.parquet"))) == written
+    with path.open("ab") as f:
+        f.write(b"more\n")
+    assert lines.line_index(spark, str(path), store).where("line_number = 0").first().byte_offset == 5001
+
+
 def test_folder_tail(tmp_path):
     a, b = tmp_path / "a.log", tmp_path / "b.log"
     a.write_text("a1\n")

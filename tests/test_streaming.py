@@ -44,6 +44,30 @@ def test_novelty_and_alerts(spark, batches, tmp_path):
     assert sorted(r.line_number for r in rows) == [3, 5]
 
 
+def test_novelty_counts_what_it_saw(spark, batches, tmp_path):
+    schema = "source string, epoch int, line_number long, text string"
+    stream = batches(None, schema, [("s", 0, 900_000, "ERROR a"), ("s", 0, 900_001, "quiet")], [("s", 0, 900_002, "ERROR b"), ("s", 1, 1, "ERROR b")])
+    rows = drain(spark, pipeline.novelty(pipeline.prepared(stream), 2), "novel_late", tmp_path)
+    assert [(r.epoch, r.line_number) for r in rows] == [(0, 900_002)]
+
+
+def test_sessions(spark, batches, tmp_path):
+    at = lambda s: None if s is None else dt.datetime(2026, 1, 1) + dt.timedelta(seconds=s)
+    schema = "source string, thread string, line_number long, ts timestamp"
+    stream = batches(None, schema, [("s", "1", 1, at(0)), ("s", None, 2, at(0)), ("s", "1", 3, at(1))], [("s", "1", 4, None), ("s", "1", 5, at(60)), ("s", "1", 6, at(90)), ("s", "1", 7, at(91))])
+    rows = {r.line_number: r.block_id for r in drain(spark, pipeline.sessions(stream, most=2), "sessions", tmp_path)}
+    assert rows == {1: "s\x1f1\x1f1\x1f0", 2: "s\x1f\0\x1f2\x1f0", 3: "s\x1f1\x1f1\x1f0", 4: "s\x1f1\x1f1\x1f1", 5: "s\x1f1\x1f1\x1f1", 6: "s\x1f1\x1f6\x1f0", 7: "s\x1f1\x1f6\x1f0"}
+
+
+def test_volume_from_the_first_time_loses_nothing(spark, batches, tmp_path):
+    stream = batches(None, "source string, text string", [("s", "2026-01-01 00:00:03 ERROR a")], [("s", "2026-01-01 01:00:00 c")], [("s", "2026-01-01 00:00:12 late")])
+    counts = pipeline.volume(pipeline.prepared(stream), "10 seconds", first=dt.datetime(2026, 1, 1, 0, 0, 3, tzinfo=dt.timezone.utc))
+    q = counts.writeStream.format("memory").queryName("bins").option("checkpointLocation", str(tmp_path / "bins")).outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted((r.start.minute, r.start.second, r.total) for r in spark.table("bins").collect())[0][2] == 2
+
+
 def test_alert_stream(spark, batches, tmp_path):
     at = lambda s: dt.datetime(2026, 1, 1) + dt.timedelta(seconds=s)
     schema = "rule_id string, ts timestamp, line_number long"
