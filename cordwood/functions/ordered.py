@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cordwood.session import cut
+
 CHUNK = 65_536
 
 
@@ -52,6 +54,17 @@ def running(
     )
 
 
+def numbered(df: DataFrame, name: str, order: list[Column]) -> DataFrame:
+    """df with name: the place of each row, from 1 on, in an order over all rows. Rows are sorted in ranges; the rows of
+    each range are counted, and a range's places go on where those of the ranges before it end."""
+    # kept, since counts and rows have to come from the same ranges
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())).withColumn("_p", F.shiftright("_id", 33))
+    sums = placed.groupBy("_p").agg(F.count("*").alias("_n"))
+    # one row per range
+    sums = sums.withColumn("_base", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return placed.join(sums, "_p").select(*df.columns, (F.col("_base") + F.col("_id") - F.shiftleft(F.col("_p"), 33) + 1).alias(name))
+
+
 def safe_groups(df: DataFrame, key: str, order: str, safe: Column, size: int = 8192) -> DataFrame:
     """df with _g: parts of each entity that begin at a safe row, one from which on no row needs those before it.
 

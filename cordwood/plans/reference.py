@@ -13,6 +13,7 @@ from cordwood.formats import native
 from cordwood.formats.parsers import EXAMPLES
 from cordwood.formats.read import detect_sources, join_continuations, parse
 from cordwood.functions import fields, levels, masking, text
+from cordwood.functions.ordered import numbered
 from cordwood.operators import annotations, blocks, exceptions, highlight, patterns, search, traces, volume
 from cordwood.operators import grid as grids
 from cordwood.plans import base as B
@@ -131,11 +132,32 @@ def span_heat(spark, d):
     return table(spark, d, "trace_spans").select("row_id", (text.heat(F.col("duration_us")) >= 0.5).alias("hot"))
 
 
-@query()
+_TENTHS, _HUNDREDTHS = "((duration_us + 50) // 100)", "((duration_us + 5000) // 10000)"
+
+
+@query(f"""SELECT row_id, CASE WHEN duration_us IS NULL THEN NULL WHEN duration_us < 1000000 THEN ({_TENTHS} // 10) || '.' || ({_TENTHS} % 10) || ' ms'
+    ELSE ({_HUNDREDTHS} // 100) || '.' || lpad(({_HUNDREDTHS} % 100)::VARCHAR, 2, '0') || ' s' END AS duration FROM trace_spans""")
 def span_durations(spark, d):
     return table(spark, d, "trace_spans").select("row_id", text.format_duration(F.col("duration_us")).alias("duration"))
 
 
+_NATURAL = "r IS NULL, try_cast(r AS DOUBLE) IS NULL, try_cast(r AS DOUBLE), upper(r), r"
+
+
+@query(f"WITH {B.E}, r AS (SELECT DISTINCT properties['Elapsed'] AS r FROM e) SELECT r AS value, row_number() OVER (ORDER BY {_NATURAL}) AS place FROM r")
+def natural_order(spark, d):
+    """The distinct values of a property, numbers by value before texts, with their places."""
+    values = B.events(spark, d).select(fields.resolve("Elapsed").alias("value")).distinct()
+    return numbered(values, "place", text.natural_sort_keys(F.col("value")))
+
+
+@query("""SELECT row_id, CASE WHEN strpos(lower(span_name), 'port') = 1 THEN 1000 WHEN strpos(lower(span_name), 'port') > 1 THEN 801 - strpos(lower(span_name), 'port')
+    WHEN strpos(lower(source), 'port') > 0 THEN 501 - strpos(lower(source), 'port') WHEN regexp_matches(lower(span_name), 'p.*o.*r.*t') THEN 100 END::INT AS score FROM (SELECT DISTINCT row_id, span_name, source FROM trace_spans)""")
+def fuzzy_names(spark, d):
+    rows = table(spark, d, "trace_spans").select("row_id", "span_name", "source").distinct()
+    return rows.select("row_id", text.fuzzy_score(F.col("span_name"), F.col("source"), "Port").cast("int").alias("score"))
+
+
 # ---- search and filters -----------------------------------------------------------------------------------------
 
 
@@ -484,13 +506,30 @@ def highlight_first_match(spark, d):
     return B.once(rows, "rule_id")
 
 
-@query()
+# matches of both rules are ten characters long; they begin where the parts between them end
+_PARTS = "CASE WHEN contains(lower(message), 'slow query') THEN string_split(lower(message), 'slow query') ELSE regexp_split_to_array(message, 'ref_[0-9]{6}') END"
+
+
+@query(f"""WITH {B.E}, r AS (SELECT source, line_number, CASE WHEN contains(lower(message), 'slow query') THEN 'slow' ELSE 'ref' END AS rule_id, {_PARTS} AS parts FROM e
+        WHERE contains(lower(message), 'slow query') OR (NOT coalesce(contains(properties['ThreadId'], '1'), false) AND regexp_matches(message, 'ref_[0-9]{{6}}'))),
+    x AS (SELECT *, unnest(range(1, len(parts))) AS i FROM r)
+    SELECT source, line_number, rule_id, (list_sum(list_transform(parts[1:i], lambda p: length(p))) + (i - 1) * 10)::INT AS start, 10 AS length FROM x""")
 def highlight_spans(spark, d):
     rows = highlight.with_spans(B.events(spark, d).withColumn("text", F.col("message")), _PRESETS)
     return rows.select("source", "line_number", "rule_id", F.inline("spans")).distinct()
 
 
-@query()
+# the hits of a rule in order; a hit whose threshold-th one backwards lies within the window fires if no alert took it
+_HITS = """h AS (SELECT CASE WHEN {r} >= 4 THEN 'errors' ELSE 'warnings' END AS rule_id, epoch_us(ts) AS at_us, event_id AS line_number FROM e WHERE {r} >= 3 AND ts IS NOT NULL),
+    n AS (SELECT *, row_number() OVER w AS i, CASE rule_id WHEN 'errors' THEN 3 ELSE 5 END AS k, CASE rule_id WHEN 'errors' THEN 600000000 ELSE 3600000000 END AS width,
+        lag(at_us, 2) OVER w AS back3, lag(at_us, 4) OVER w AS back5 FROM h WINDOW w AS (PARTITION BY rule_id ORDER BY at_us, line_number)),
+    f AS (SELECT * FROM n WHERE at_us - CASE k WHEN 3 THEN back3 ELSE back5 END <= width),
+    j AS (SELECT a.rule_id, a.i, min(b.i) AS nxt FROM f a LEFT JOIN f b ON b.rule_id = a.rule_id AND b.i >= a.i + a.k AND b.i <= a.i + 400 GROUP BY 1, 2),
+    t AS (SELECT j.rule_id, j.i, coalesce(j.nxt, (SELECT min(b.i) FROM f b WHERE b.rule_id = j.rule_id AND b.i > j.i + 400)) AS nxt FROM j),
+    o AS (SELECT rule_id, min(i) AS i FROM f GROUP BY 1 UNION ALL SELECT t.rule_id, t.nxt FROM o JOIN t USING (rule_id, i) WHERE t.nxt IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {B.E}, {_HITS.format(r=B.rank('level'))} SELECT rule_id, at_us, line_number FROM o JOIN n USING (rule_id, i)")
 def alert_threshold(spark, d):
     """Alerts of two rules over all events: three errors within ten minutes, five warnings within an hour."""
     rules = [highlight.Rule("errors", "x", threshold=3, window_us=600_000_000), highlight.Rule("warnings", "x", threshold=5, window_us=3_600_000_000)]
@@ -517,6 +556,11 @@ def bookmarks(spark, d):
     return rows.select("line_number", "note", "text")
 
 
+@query(f"WITH {B.V} SELECT coalesce(min(line_number) FILTER (line_number > 500), min(line_number)) AS line_number FROM v WHERE event_type = 'error'")
+def next_mark(spark, d):
+    return annotations.next_mark(B.event_log(spark, d).where("event_type = 'error'"), 500)
+
+
 @query(f"""WITH {B.V}, m AS (SELECT greatest(line_number - 2, 1) AS a, least(line_number + 2, (SELECT max(line_number) FROM v)) AS b FROM v WHERE event_type = 'error'),
     n AS (SELECT *, CASE WHEN a <= max(b) OVER (ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS fresh FROM m),
     g AS (SELECT *, sum(fresh) OVER (ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM n) SELECT min(a) AS first, max(b) AS last FROM g GROUP BY g""")
@@ -540,7 +584,12 @@ def export_formatted(spark, d):
     return annotations.formatted(e.select("source", "line_number", F.col("message").alias("text")), e)
 
 
-@query()
+_MEMBERS = "list_transform(map_entries(properties), lambda p: to_json(p.key) || ':' || to_json(p.value))"
+
+
+@query(f"""WITH {B.E} SELECT '{{"lineNumber":' || line_number || coalesce(',"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z"', '') || coalesce(',"level":' || to_json(level), '')
+    || coalesce(',"messageTemplate":' || to_json(message_template), '') || ',"message":' || to_json(message) || coalesce(',"exception":' || to_json(exception), '')
+    || coalesce(',"properties":{{' || array_to_string({_MEMBERS}, ',') || '}}', '') || coalesce(',"traceId":' || to_json(trace_id), '') || coalesce(',"spanId":' || to_json(span_id), '') || '}}' AS value FROM e""")
 def export_json(spark, d):
     e = B.once_each(B.events(spark, d))
     columns = ["source", "line_number", "ts", "ts_offset_min", "level", "message_template", "message", "exception", "properties", "trace_id", "span_id"]
@@ -622,6 +671,23 @@ def parse_syslog_old(spark, d):
     return _out(_typed(spark, d, line, "syslog", year=2024), "tag")
 
 
+@query(f"WITH {B.E} SELECT source, line_number, trace_id, span_id FROM e WHERE trace_id IS NOT NULL")
+def parse_trace_ids(spark, d):
+    """Trace and span of compact events, from their own members."""
+    rows = B.events(spark, d).where("trace_id is not null")
+    line = F.to_json(F.struct(iso().alias("@t"), F.lit("m").alias("@mt"), F.col("trace_id").alias("@tr"), F.col("span_id").alias("@sp")))
+    return B.once(parse(rows.select("source", "line_number", line.alias("text")), "serilog"), "trace_id", "span_id")
+
+
+@query(f"""WITH {B.V} SELECT line_number, CASE WHEN event_id % 2 = 0 THEN message ELSE strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' [' || upper(level) || '] ' || message END AS message,
+    epoch_us(CASE WHEN event_id % 2 = 0 THEN ts ELSE date_trunc('millisecond', ts) END) AS us, level FROM v""")
+def parse_unknown(spark, d):
+    """Lines of no one format: structured ones as such, all others as plain text."""
+    compact = F.to_json(F.struct(iso().alias("@t"), F.lit("User {UserId} {EventType} k={k}").alias("@mt"), F.col("level").alias("@l"), F.col("properties.UserId").alias("UserId"), F.col("event_type").alias("EventType"), F.col("properties.k").alias("k")))
+    plain = F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS"), F.lit(" ["), F.upper("level"), F.lit("] "), "message")
+    return _typed(spark, d, F.when(F.col("event_id") % 2 == 0, compact).otherwise(plain), None).select("line_number", "message", us("ts").alias("us"), "level")
+
+
 @query(f"WITH {B.V} SELECT line_number + 1 AS line_number, epoch_us(date_trunc('second', ts)) AS us, CASE WHEN level = 'Error' THEN 'Error' WHEN level = 'Warning' THEN 'Warning' ELSE 'Information' END AS level, 'GET /' || event_type || ' → ' || CASE level WHEN 'Error' THEN '500' WHEN 'Warning' THEN '404' ELSE '200' END || ' (' || k || ' ms)' AS message, '' AS \"cs-uri-query\" FROM v")
 def parse_w3c(spark, d):
     status = F.when(F.col("level") == "Error", "500").when(F.col("level") == "Warning", "404").otherwise("200")
@@ -650,7 +716,13 @@ def detect_formats(spark, d):
     return detect_sources(B.lines(spark, d))
 
 
-@query()
+_LOG4J = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?\s+\[[^\]]+\]\s+([A-Za-z]+)\s+\S+\s+-\s+"
+
+
+@query(f"""WITH {B.L}, h AS (SELECT source, line_number, text, regexp_matches(text, '{_LOG4J}') AS is_head, {B.normal(f"regexp_extract(text, '{_LOG4J}', 1)")} AS lv FROM l),
+    o AS (SELECT source, line_number, text, last_value(CASE WHEN is_head THEN line_number END IGNORE NULLS) OVER w AS owner, last_value(CASE WHEN is_head THEN lv END IGNORE NULLS) OVER w AS lv
+        FROM h WINDOW w AS (PARTITION BY source ORDER BY line_number ROWS UNBOUNDED PRECEDING))
+    SELECT source, line_number, CASE WHEN text <> '' THEN owner END AS owner, CASE WHEN text <> '' THEN lv END AS level FROM o""")
 def continuation_lines(spark, d):
     rows = B.lines(spark, d)
     first = B.once(rows, F.substring("text", 1, 1).alias("text"))  # all that tells a blank line

@@ -7,12 +7,10 @@ from collections import Counter
 from pathlib import PurePath
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cordwood.functions.fields import text_time
-from cordwood.functions.ordered import running
-from cordwood.session import cut
+from cordwood.functions.ordered import numbered, running
 
 MARK = "│"
 
@@ -45,13 +43,6 @@ def merge(lines: DataFrame, labels: dict[str, str] | None = None, time: Column |
     """
     keyed = with_keys(lines, time)
     label = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in labels.items() for x in p]), F.col("source")), F.col("source")) if labels else F.col("source")
-    ordered = keyed.repartitionByRange("merge_key", "source", "line_number").sortWithinPartitions(F.col("merge_key").asc_nulls_first(), "source", "line_number")
-    # kept, since counts and rows have to come from the same ranges
-    placed = cut(ordered.withColumn("_id", F.monotonically_increasing_id()))
-    part = F.shiftright("_id", 33)
-    sums = placed.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
-    sums = sums.withColumn("_base", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    number = F.col("_base") + F.col("_id") - F.shiftleft(F.col("_p"), 33) + 1
-    return placed.withColumn("_p", part).join(sums, "_p").select(
-        number.alias("line_number"), F.concat(label, F.lit(f"{MARK} "), F.col("text")).alias("text"), "source", F.col("line_number").alias("source_line"), "merge_key",
-    )
+    rows = keyed.withColumnRenamed("line_number", "source_line")
+    placed = numbered(rows, "line_number", [F.col("merge_key").asc_nulls_first(), F.col("source").asc(), F.col("source_line").asc()])
+    return placed.select("line_number", F.concat(label, F.lit(f"{MARK} "), F.col("text")).alias("text"), "source", "source_line", "merge_key")
