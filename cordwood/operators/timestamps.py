@@ -307,9 +307,9 @@ def normalise(
     hint = F.broadcast if small else lambda x: x
     given = zones.select(F.col("source").alias("_zs"), F.col("zone_name").alias("_zn"), F.col("date_order").alias("_zo"))
     rows = df.join(hint(given), F.col(source) == F.col("_zs"), "left").withColumn("_key", F.coalesce(F.col(source), F.lit("")))
-    guessed = cut(zones_of(df, source, text, read_at, zones)) if rounds else None
+    guessed = cut(zones_of(df, source, text, read_at, zones)).withColumnRenamed("_us", "_gk") if rounds else None
     if guessed is not None and not guessed.isEmpty():
-        rows = rows.join(hint(guessed) if guessed.limit(max_sources + 1).count() <= max_sources else guessed, (F.col("_key") == F.col("_us")) & F.col("_zn").isNull(), "left")
+        rows = rows.join(hint(guessed) if guessed.limit(max_sources + 1).count() <= max_sources else guessed, (F.col("_key") == F.col("_gk")) & F.col("_zn").isNull(), "left")
     else:
         rows = rows.withColumns({"_uz": F.lit(None).cast("string"), "_up": F.lit(None).cast("double")})
     rows = rows.withColumn("_zone_used", F.coalesce("_zn", "_uz", F.lit("UTC")))
@@ -317,7 +317,7 @@ def normalise(
     bucket = lambda c: F.when(F.col(c).isNotNull(), F.coalesce(_bucket(F.col("_read") - F.col(c)), F.lit(_BUCKETS)))
     rows = fenced(rows, _ba=bucket("cand_a"), _bb=bucket("cand_b"), _bu=bucket("cand_unit"), _b1=bucket("cand_first"), _b2=bucket("cand_later"))
     # kept, since both the counts and the rows need the readings, which cost far more than to write them
-    rows = cut(rows.drop("_wall", "_read", "_zs", "_us", "_uz", "cand_first"))
+    rows = cut(rows.drop("_wall", "_read", "_zs", "_gk", "_uz", "cand_first"))
 
     declared = F.when(F.col("notation") == "slash", F.when(F.col("_zo") == "dmy", "a").when(F.col("_zo") == "mdy", "b")).otherwise(F.lit("a"))
     counts = rows.where(F.col("notation").isNotNull()).groupBy(
