@@ -262,11 +262,28 @@ def consistent(records: DataFrame, least: float = 0.3) -> DataFrame:
 _CAST = {"integer": ("integers", "bigint"), "float": ("floats", "double"), "string": ("texts", "string"), "boolean": ("booleans", "boolean"), "array": ("nested", "string"), "object": ("nested", "string")}
 
 
+def _columns(names: list[str]) -> list[str]:
+    """A column for each of names: "field:" and the name. Names are compared exactly and columns without regard to
+    letter case, so where that leaves a column taken, the later name in order has #2, #3, ... behind it, and no field's
+    own name is one of these."""
+    plain = lambda c: c.upper().lower()
+    taken, own, out = set(), {plain(n) for n in names}, {}
+    for n in sorted(names):
+        column, k = n, 1
+        while plain(column) in taken or (k > 1 and plain(column) in own):
+            k += 1
+            column = f"{n}#{k}"
+        taken.add(plain(column))
+        out[n] = f"field:{column}"
+    return [out[n] for n in names]
+
+
 def projected(table: DataFrame, share: float = 0.05) -> DataFrame:
     """table, as consistent() gives it, with one typed column for each field that at least share of its applications
     have; all others stay in the maps. The type of a column is that of the field in most applications (ties: the type
     named first in TYPES); where an application holds the field in another type, its values stay in the maps too, or
-    in failed. There are at most 1 / share times as many columns as an application has fields."""
+    in failed. Names that differ in letter case only are columns of their own (see _columns). There are at most
+    1 / share times as many columns as an application has fields."""
     table = cut(table)
     maps = {"integers": "integer", "floats": "float", "texts": "string", "booleans": "boolean", "nested": "object"}
 
@@ -281,5 +298,5 @@ def projected(table: DataFrame, share: float = 0.05) -> DataFrame:
     top = named.groupBy("name", "kind").agg(F.count("*").alias("n")).groupBy("name").agg(F.sum("n").alias("apps"), F.max_by("kind", F.struct("n", -_rank())).alias("kind"))
     header = sorted((r.name, r.kind) for r in top.where(F.col("apps") >= max(1, share * apps)).collect())
     rest = [without(c, [n for n, k in header if _CAST[k][0] == c]) for c in maps]
-    columns = [F.try_element_at(F.col(_CAST[k][0]), F.lit(n)).cast(_CAST[k][1]).alias(f"field:{n}") for n, k in header]
+    columns = [F.try_element_at(F.col(_CAST[k][0]), F.lit(n)).cast(_CAST[k][1]).alias(c) for (n, k), c in zip(header, _columns([n for n, _ in header]))]
     return table.select("app", "file_no", "record_no", "ts", "level", "template", "exception", *columns, *rest, "failed")

@@ -64,6 +64,25 @@ def test_typed_columns(spark):
     assert rows["a", 1].failed == {"A": "?"} and rows["b", 0]["field:A"] is None and rows["b", 0].texts == {"A": "text"} and rows["b", 0].booleans == {"C": True}
 
 
+def test_names_that_differ_in_case_are_columns_of_their_own(spark, tmp_path):
+    names = ("LeaseName", "leaseName", "leasename", "leasename#2")
+    both = frame(spark, {1: [{n: i for i, n in enumerate(names)}, {"leaseName": 7}]}).union(frame(spark, {1: [{"leaseName": "text"}]}, "b"))
+    D.projected(D.consistent(both), 0.5).write.parquet(str(tmp_path / "out"))
+    table = spark.read.parquet(str(tmp_path / "out"))
+    columns = [c for c in table.columns if c.startswith("field:")]
+    rows = {(r.app, r.record_no): r for r in table.collect()}
+    assert columns == ["field:LeaseName", "field:leaseName#3", "field:leasename#4", "field:leasename#2"]
+    assert [rows["a", 0][c] for c in columns] == [0, 1, 2, 3] and rows["a", 0].integers == {} and rows["a", 1]["field:leaseName#3"] == 7
+    assert rows["b", 0]["field:leaseName#3"] is None and rows["b", 0].texts == {"leaseName": "text"}
+
+
+def test_columns_can_be_written_whatever_the_names(spark, tmp_path):
+    names = ["", " ", "a b", "a.b", "a`b", "a,b;{c}(d)=", "é", "É", "k", "\u212a", "x\ny", "a/b"]
+    D.projected(D.consistent(frame(spark, {1: [{n: i for i, n in enumerate(names)}]}))).write.parquet(str(tmp_path / "out"))
+    row = spark.read.parquet(str(tmp_path / "out")).first()
+    assert sorted(v for c, v in row.asDict().items() if c.startswith("field:")) == list(range(len(names)))
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert D.changes(empty).count() == 0 and D.consistent(empty).count() == 0
